@@ -115,7 +115,7 @@ def mix(ws: Workspace, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, r
     sums = ws.save(sums.select(F.col("source").alias("rs_"), F.col("run").alias("run_"), F.coalesce(F.sum("run_size").over(back), F.lit(0)).alias("base")))
     in_run = Window.partitionBy("source", "run").orderBy("okey", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = ws.save(rows.withColumn("inside", F.coalesce(F.sum("size").over(in_run), F.lit(0))))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("rs_")) & (F.col("run") == F.col("run_")))
+    rows = rows.join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("rs_")) & (F.col("run") == F.col("run_")))
     rows = rows.withColumn("start", F.col("base") + F.col("inside")).drop("rs_", "run_", "run", "base", "inside")
     rows = rows.join(t, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
     full = F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0)

@@ -26,14 +26,17 @@ KINDS = ["assign", "access", "hex", "entropy"]
 WINDOW, CANDIDATE = 20, r"[A-Za-z0-9+/_=-]{20,}"
 LIMITS = {"hex": 3.0, "mixed": 3.9}
 #: A candidate that matches any of these is not reported by entropy.
-ALLOW = [r"^[^0-9]*$", r"^[0-9]*$", r"^[0-9_=/+-]*$", r"(?i)example|sample|placeholder|changeme|x{6}|dummy|redacted", r"^(?:[A-Za-z]*[-_/=+])+[A-Za-z]*[0-9]{0,4}$"]
+ALLOW = [r"^[^0-9]*$", r"^[0-9]*$", r"^[0-9_=/+-]*$", r"(?i)example|sample|placeholder|changeme|x{6}|dummy|redacted", r"^[A-Za-z_/=+-]*[0-9]{0,4}$"]
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def located(text: Column, pattern: str, kind: int, kept: Column | None = None, value_group: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches, from the text between them and their own lengths."""
+    """Spans of the leftmost non-overlapping matches, from the text between them and their own lengths.
+
+    The gap pattern is tied to the end of the match before (\\G), so a text is passed over once.
+    """
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gap = F.regexp_extract_all(text, F.lit(f"(?s)(.*?)(?:{pattern})"), F.lit(1))
+    gap = F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?)(?:{pattern})"), F.lit(1))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else match
     steps = F.arrays_zip(gap.alias("gap"), match.alias("match"), value.alias("value"))
     none = F.lit(None).cast(SPAN)
@@ -56,22 +59,21 @@ def _clog(n: Column) -> Column:
 def window_entropy(s: Column, width: int = WINDOW) -> Column:
     """The largest Shannon entropy (bits) over the windows of `width` characters of s, by incremental counts."""
 
-    def step(acc, i):
-        new = F.substr(s, i, F.lit(1))
-        full = i > width
-        old = F.substr(s, i - width, F.lit(1))
-        # The window before this step covers positions max(1, i - width) .. i - 1.
-        held = F.substr(s, F.greatest(i - width, F.lit(1)), F.least(i - 1, F.lit(width)))
-        n_old = F.length(held) - F.length(F.replace(held, old, F.lit("")))
+    def times(held: Column, char: Column) -> Column:
+        return F.length(held) - F.length(F.replace(held, char, F.lit("")))
+
+    def step(acc, new):
+        held, full = acc["held"], F.length(acc["held"]) >= width
+        n_old = times(held, F.substring(held, 1, 1))
         less = F.when(full, acc["s"] - _clog(n_old) + _clog(n_old - 1)).otherwise(acc["s"])
-        rest = F.when(full, F.substr(held, F.lit(2), F.lit(width))).otherwise(held)
-        n_new = F.length(rest) - F.length(F.replace(rest, new, F.lit("")))
+        rest = F.when(full, F.substring(held, 2, width)).otherwise(held)
+        n_new = times(rest, new)
         total = less - _clog(n_new) + _clog(n_new + 1)
-        bits = F.when(i >= width, F.log2(F.lit(float(width))) - total / width).otherwise(F.lit(0.0))
-        return F.struct(total.alias("s"), F.greatest(acc["best"], bits).alias("best"))
+        bits = F.when(F.length(held) >= width - 1, F.log2(F.lit(float(width))) - total / width).otherwise(F.lit(0.0))
+        return F.struct(total.alias("s"), F.greatest(acc["best"], bits).alias("best"), F.concat(rest, new).alias("held"))
 
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda a: a["best"])
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit("").alias("held"))
+    return F.aggregate(F.split(s, ""), zero, step, lambda a: a["best"])
 
 
 def _suspicious(s: Column) -> Column:

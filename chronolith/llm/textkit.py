@@ -88,3 +88,26 @@ def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def rows_of(bounds: np.ndarray) -> np.ndarray:
     """The row of each item, from the rows' bounds."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """Groups of rows with equal first n_keys columns, over batches sorted by them; the other columns as arrays."""
+    held: list[list[np.ndarray]] = []
+    now: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols[:n_keys]:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[s] for c in cols[:n_keys])
+            if key != now and now is not None:
+                yield now, [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            now = key
+            held.append([c[s:e] for c in cols[n_keys:]])
+    if now is not None:
+        yield now, [np.concatenate(x) for x in zip(*held, strict=True)]
