@@ -31,7 +31,10 @@ from .textkit import BYTE_BASE, WORD_BASE, U, mix, spans_hash, text_blocks, word
 WINDOW, BLOCK = 50, 25
 #: Windows in a bucket by design, and at most before it is dealt out; words in a chunk of documents;
 #: words gathered before a task sends its packed rows on.
-BUCKET, BUCKET_LIMIT, CHUNK, GATHER = 3_000_000, 9_000_000, 2_000_000, 4_000_000
+BUCKET, BUCKET_LIMIT, CHUNK, GATHER = 1_500_000, 5_000_000, 2_000_000, 2_000_000
+#: One document in so many is looked at to see which buckets grow past their bound. This only plans the
+#: dealing out: every window is matched either way.
+SIZED = 64
 NO_DOC = np.iinfo(np.int64).max
 PACKED = "bucket int, n bigint, blob binary"
 REPLY = "chunk int, blob binary"
@@ -207,8 +210,11 @@ def _load(table: pa.Table) -> Entries:
     return Entries.concat([Entries.unpack(b) for b in table.column("blob").to_pylist()])
 
 
-def _matched(ws: Workspace, packed: DataFrame, extend: bool) -> DataFrame:
-    """(chunk, blob): the entries chosen, sent back to their documents' chunks."""
+def _matched(ws: Workspace, packed: DataFrame, sized: DataFrame, scale: int, extend: bool) -> DataFrame:
+    """(chunk, blob): the entries chosen, sent back to their documents' chunks.
+
+    sized holds the packed rows, or those of one document in `scale`, to tell the buckets' sizes.
+    """
 
     def whole(table: pa.Table) -> pa.Table:
         e = _load(table)
@@ -217,7 +223,8 @@ def _matched(ws: Workspace, packed: DataFrame, extend: bool) -> DataFrame:
         ok = _chosen(e.doc_id[e.doc[order]], r(least), r(most), r(block), extend)
         return _reply_table(_replies(e, order[ok]))
 
-    sizes = ws.save(packed.groupBy("bucket").agg(F.ceil(F.sum("n") / BUCKET_LIMIT).cast("int").alias("parts")).where("parts > 1").withColumnRenamed("bucket", "b_"))
+    parts = F.ceil(F.sum("n") * scale / BUCKET_LIMIT).cast("int").alias("parts")
+    sizes = ws.save(sized.groupBy("bucket").agg(parts).where("parts > 1").withColumnRenamed("bucket", "b_"))
     if sizes.isEmpty():
         return packed.groupBy("bucket").applyInArrow(whole, REPLY)
     joined = packed.join(sizes, F.col("bucket") == F.col("b_"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -367,12 +374,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))
     keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
     keyed = keyed.select("doc_id", "row_key", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(chunks)).cast("int").alias("chunk"), "text")
-    probes = ws.save(keyed.where(F.col("doc_id") < NO_DOC).mapInArrow(_probe_rows(buckets), PACKED))
-    hits = ws.save(_matched(ws, probes, extend=False))
-    ws.drop(probes)
+    known = keyed.where(F.col("doc_id") < NO_DOC)
+    probes = known.mapInArrow(_probe_rows(buckets), PACKED)
+    looked_at = known.where(F.pmod(F.xxhash64("row_key", "doc_id"), F.lit(SIZED)) == 0).mapInArrow(_probe_rows(buckets), PACKED)
+    hits = ws.save(_matched(ws, probes, looked_at, SIZED, extend=False))
     ws.free()
     extended = ws.save(keyed.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extend_rows(buckets), PACKED))
-    gone = ws.save(_matched(ws, extended, extend=True))
+    gone = ws.save(_matched(ws, extended, extended, 1, extend=True))
     ws.drop(extended)
     ws.drop(hits)
     ws.free()
