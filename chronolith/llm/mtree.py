@@ -18,6 +18,7 @@ fewer ranks; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 SCALE, TOP, QUERY_STEP = 256, 5, 50
-SLICE, QUERY_BLOCK, PAGE, FANOUT, SLACK = 8192, 1024, 96, 24, 1e-6
+SLICE, QUERY_BLOCK, PAGE, FANOUT, SLACK = 16384, 1024, 512, 32, 1e-6
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -39,55 +40,67 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 class Node:
-    __slots__ = ("entries", "parent_dist", "radius", "children")
+    """A page. A leaf's entries are rows lo..hi of the tree; an inner page's are routing objects with children."""
 
-    def __init__(self, entries: np.ndarray, parent_dist: np.ndarray, radius: np.ndarray | None, children: list[Node] | None):
-        self.entries, self.parent_dist, self.radius, self.children = entries, parent_dist, radius, children
+    __slots__ = ("lo", "hi", "parent_dist", "routes", "radius", "children")
+
+    def __init__(self, parent_dist: np.ndarray, lo: int = 0, hi: int = 0, routes=None, radius=None, children: list[Node] | None = None):
+        self.parent_dist, self.lo, self.hi, self.routes, self.radius, self.children = parent_dist, lo, hi, routes, radius, children
 
 
 class MTree:
-    """An M-tree over integer vectors in the lifted space."""
+    """An M-tree over integer vectors in the lifted space; the rows of a leaf lie side by side."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, m2: float):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.v = ids[order], v[order]
-        self.f = self.v.astype(np.float64)
-        norm = np.einsum("ij,ij->i", self.f, self.f)
-        lift = np.sqrt(np.maximum(m2 - norm, 0.0))
-        self.x = np.hstack([self.f, lift[:, None]])
-        self.n2 = norm + lift * lift
+        ids, v = ids[order], v[order]
+        f = v.astype(np.float64)
+        norm = np.einsum("ij,ij->i", f, f)
         self.m2 = m2
-        self.root, self.centre = self._build(np.arange(len(ids)), 0) if len(ids) else (None, 0)
+        self._x = np.hstack([f, np.sqrt(np.maximum(m2 - norm, 0.0))[:, None]])
+        self._f = f
+        self._laid: list[np.ndarray] = []
+        self._n = 0
+        self.root = self._build(np.arange(len(ids)), 0) if len(ids) else None
+        self.first = f[0] if len(ids) else None
+        laid = np.concatenate(self._laid) if self._laid else np.zeros(0, int)
+        self.ids = ids[laid]
+        # Sums of products below 2**53 are exact in doubles, whose products are much the faster.
+        self.rows = f[laid] if m2 < 1 << 52 else v[laid]
+        self.exact = m2 < 1 << 52
+        del self._x, self._f, self._laid
 
     def _dist(self, i: int, rows: np.ndarray) -> np.ndarray:
-        d = self.x[rows] - self.x[i]
+        d = self._x[rows] - self._x[i]
         return np.sqrt(np.einsum("ij,ij->i", d, d))
 
-    def _build(self, rows: np.ndarray, centre: int) -> tuple[Node, int]:
-        """The page of these rows below the routing object `centre` (a position)."""
+    def _build(self, rows: np.ndarray, centre: int) -> Node:
+        """The page of these rows (in id order) below the routing object `centre`."""
         to_centre = self._dist(centre, rows)
         if len(rows) <= PAGE:
-            return Node(rows, to_centre, None, None), centre
-        # Routing objects: the centre, then each time the row farthest from those chosen.
-        pivots, near = [int(centre)], to_centre.copy()
-        owner = np.zeros(len(rows), int)
-        while len(pivots) < FANOUT and near.max() > SLACK:
-            p = int(rows[near.argmax()])
+            self._laid.append(rows)
+            self._n += len(rows)
+            return Node(to_centre, self._n - len(rows), self._n)
+        # Routing objects: evenly spaced rows, which follow the density of the vectors, so pages fill alike.
+        fan = min(FANOUT, -(-2 * len(rows) // PAGE))
+        pivots, near, owner = [], np.full(len(rows), np.inf), np.zeros(len(rows), int)
+        for p in rows[np.linspace(0, len(rows) - 1, fan).astype(int)].tolist():
             d = self._dist(p, rows)
-            closer = d < near
-            owner[closer] = len(pivots)
-            near = np.minimum(near, d)
-            pivots.append(p)
+            closer = d < near - SLACK
+            if not pivots or closer.any():
+                owner[closer] = len(pivots)
+                near = np.minimum(near, d)
+                pivots.append(p)
         if len(pivots) == 1 or np.bincount(owner).max() > 0.95 * len(rows):  # nearly all alike: pages in id order
             parts = np.array_split(rows, min(FANOUT, -(-len(rows) // PAGE)))
             pivots = [int(p[0]) for p in parts]
         else:
             parts = [rows[owner == k] for k in range(len(pivots))]
         kept = [(p, r) for p, r in zip(pivots, parts, strict=True) if len(r)]
-        children = [self._build(r, p)[0] for p, r in kept]
+        children = [self._build(r, p) for p, r in kept]
         entries = np.array([p for p, _ in kept])
         radius = np.array([self._dist(p, r).max() for p, r in kept])
-        return Node(entries, self._dist(centre, entries), radius, children), centre
+        return Node(self._dist(centre, entries), routes=self._f[entries], radius=radius, children=children)
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (score, vec_id), highest score first, ties to the smaller id; rows of query_id excluded."""
@@ -95,42 +108,47 @@ class MTree:
             return []
         qf = q.astype(np.float64)
         base = float(qf @ qf) + self.m2
+        asked = qf if self.exact else q
         best: list[tuple[int, int]] = []  # heap of (score, -vec_id), the worst first
         limit = np.inf
-        d0 = float(np.sqrt(max(base - 2 * float(self.f[self.centre] @ qf), 0.0)))
+        d0 = math.sqrt(max(base - 2 * float(self.first @ qf), 0.0))
         heap: list[tuple[float, int, Node, float]] = [(0.0, 0, self.root, d0)]
         made = 0
         while heap:
             bound, _, node, d_parent = heapq.heappop(heap)
             if bound > limit:
                 break
-            gap = np.abs(d_parent - node.parent_dist)
+            gap = np.abs(node.parent_dist - d_parent)
             if node.children is None:
-                rows = node.entries[gap <= limit]
-                if not len(rows):
-                    continue
-                score = (self.v[rows] @ q).astype(np.int64)
-                if len(best) == k:
-                    rows, score = rows[score >= best[0][0]], score[score >= best[0][0]]
-                if len(rows) > 4 * k:  # only the page's own best can enter; rows are in id order
-                    top = np.lexsort((self.ids[rows], -score))[: k + int((self.ids[rows] == query_id).sum())]
-                    rows, score = rows[top], score[top]
-                for i, s in zip(self.ids[rows].tolist(), score.tolist(), strict=True):
+                if limit < np.inf:
+                    at = np.flatnonzero(gap <= limit) + node.lo
+                    score = (self.rows[node.lo : node.hi] if len(at) == node.hi - node.lo else self.rows[at]) @ asked
+                    good = score >= best[0][0]
+                    if not good.any():
+                        continue
+                    at, score = at[good], score[good]
+                else:
+                    at, score = np.arange(node.lo, node.hi), self.rows[node.lo : node.hi] @ asked
+                ids = self.ids[at]
+                if len(at) > 4 * k:  # only the page's own best can enter
+                    top = np.lexsort((ids, -score))[: k + int((ids == query_id).sum())]
+                    ids, score = ids[top], score[top]
+                for i, s in zip(ids.tolist(), score.tolist(), strict=True):
                     if i != query_id:
                         if len(best) < k:
-                            heapq.heappush(best, (s, -i))
+                            heapq.heappush(best, (int(s), -i))
                         elif (s, -i) > best[0]:
-                            heapq.heapreplace(best, (s, -i))
+                            heapq.heapreplace(best, (int(s), -i))
                 if len(best) == k:
-                    limit = float(np.sqrt(max(base - 2 * best[0][0], 0.0))) + SLACK
+                    limit = math.sqrt(max(base - 2 * best[0][0], 0.0)) + SLACK
                 continue
             pick = np.flatnonzero(gap - node.radius <= limit)
-            d = np.sqrt(np.maximum(base - 2 * (self.f[node.entries[pick]] @ qf), 0.0))
-            least = np.maximum(d - node.radius[pick], 0.0)
+            d = np.sqrt(np.maximum(base - 2 * (node.routes[pick] @ qf), 0.0))
+            least = d - node.radius[pick] - SLACK
             for c, dc, lo in zip(pick.tolist(), d.tolist(), least.tolist(), strict=True):
                 if lo <= limit:
                     made += 1
-                    heapq.heappush(heap, (max(lo - SLACK, 0.0), made, node.children[c], dc))
+                    heapq.heappush(heap, (lo, made, node.children[c], dc))
         return [(s, -i) for s, i in sorted(best, key=lambda b: (-b[0], -b[1]))]
 
 
