@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree whose nodes are its block elements and their runs of inline text. Each node is
-content or boilerplate. Node potentials come from tags, class, id and role words, link density and length;
-parent-child potentials say how labels pass down. Sum-product messages, upward from the leaves and then
+content or boilerplate. Node potentials come from class, id and role words and link density;
+parent-child potentials say how a parent's label passes to a child of a given tag. Sum-product messages, upward from the leaves and then
 downward from the root, give every node's exact marginal, and the text runs whose content marginal is at
 least one half are the main text. Potentials are smoothed counts from labelled pages, which are made here
 by a seeded generator (TRAIN_PAGES pages of known labels: no labelled pages come with the tables).
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TRAIN_PAGES, TRAIN_SEED, SMOOTHING, CLIP = 600, 7, 0.5, 7.0
+TRAIN_PAGES, TRAIN_SEED, SMOOTHING, PRIOR_WEIGHT, CLIP, WEAK = 600, 7, 0.5, 4.0, 7.0, 1.0
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -100,11 +100,10 @@ def parse(source: str) -> Page:
             if text:
                 tag, up = stack[-1]
                 share = min(1.0, linked / max(1, sum(map(len, pieces))))
-                size = len(text)
                 page.text[len(page.parent)] = text
                 page.parent.append(up)
                 page.leaf.append(True)
-                page.feats.append([f"l:{tag}", f"d:{0 if share < 0.1 else 1 if share < 0.6 else 2}", f"n:{0 if size < 25 else 1 if size < 100 else 2}"])
+                page.feats.append([f"l:{tag}", f"l:{tag} links {0 if share < 0.1 else 1 if share < 0.6 else 2}"])
         pieces, linked = [], 0
 
     def add(text: str) -> None:
@@ -182,16 +181,19 @@ def parse(source: str) -> Page:
 
 
 class Model:
-    """Log-odds of features, and P(child label | parent label) for elements and for text runs."""
+    """Log-odds of features (a text run's within its kind), and P(child label | parent label) by the child's kind (its first feature)."""
 
-    def __init__(self, odds: dict[str, float], pass_on: dict[bool, list[list[float]]], prior: float):
+    def __init__(self, odds: dict[str, float], pass_on: dict[str, list[list[float]]], prior: float):
         self.odds, self.pass_on, self.prior = odds, pass_on, prior
 
     def node(self, feats: list[str]) -> tuple[float, float]:
-        s = max(-CLIP, min(CLIP, sum(self.odds.get(f, 0.0) for f in feats)))
+        s = max(-CLIP, min(CLIP, sum(self.odds.get(f, 0.0) for f in feats[1:])))
         p = 1 / (1 + math.exp(-s))
         return 1 - p, p
 
+    def move(self, feats: list[str]) -> list[list[float]]:
+        return self.pass_on.get(feats[0]) or self.pass_on[feats[0][:2]]
+
 
 def marginals(page: Page, model: Model) -> list[float]:
     """P(content) of every node: one pass of messages up the tree, one down."""
@@ -200,7 +202,7 @@ def marginals(page: Page, model: Model) -> list[float]:
     below0, below1 = [x[0] for x in own], [x[1] for x in own]
     up: list[tuple[float, float]] = [(1.0, 1.0)] * n
     for i in range(n - 1, 0, -1):
-        psi = model.pass_on[page.leaf[i]]
+        psi = model.move(page.feats[i])
         b0, b1 = below0[i], below1[i]
         m0, m1 = psi[0][0] * b0 + psi[0][1] * b1, psi[1][0] * b0 + psi[1][1] * b1
         up[i] = (m0, m1)
@@ -217,7 +219,7 @@ def marginals(page: Page, model: Model) -> list[float]:
         p0, p1 = belief[page.parent[i]]
         m0, m1 = up[i]
         d0, d1 = p0 / max(m0, 1e-300), p1 / max(m1, 1e-300)
-        psi = model.pass_on[page.leaf[i]]
+        psi = model.move(page.feats[i])
         b0 = below0[i] * (d0 * psi[0][0] + d1 * psi[1][0])
         b1 = below1[i] * (d0 * psi[0][1] + d1 * psi[1][1])
         z = b0 + b1
@@ -229,8 +231,8 @@ def marginals(page: Page, model: Model) -> list[float]:
 def train(pages: list[tuple[str, set[str]]]) -> Model:
     """From pages with the set of their content blocks' texts. An element is content if it holds any."""
     count = {0: Counter(), 1: Counter()}
-    nodes = Counter()
-    moves = {True: Counter(), False: Counter()}
+    nodes: Counter = Counter()
+    moves: Counter = Counter()
     for source, content in pages:
         page = parse(source)
         label = [0] * len(page.parent)
@@ -242,20 +244,27 @@ def train(pages: list[tuple[str, set[str]]]) -> Model:
         for i, x in enumerate(label):
             if not i:
                 continue
-            nodes[(page.leaf[i], x)] += 1
-            moves[page.leaf[i]][(label[page.parent[i]], x)] += 1
-            count[x].update(page.feats[i])
+            kind = page.feats[i][0]
+            for k in (kind, kind[:2]):
+                nodes[k, x] += 1
+                moves[k, label[page.parent[i]], x] += 1
+            count[x].update(page.feats[i][1:])
     odds = {}
-    total = {x: {leaf: nodes[(leaf, x)] for leaf in (True, False)} for x in (0, 1)}
     for f in set(count[0]) | set(count[1]):
-        leaf = f[0] in "ldn"
-        rate = [(count[x][f] + SMOOTHING) / (total[x][leaf] + 2 * SMOOTHING) for x in (0, 1)]
-        odds[f] = math.log(rate[1] / rate[0])
-    pass_on = {
-        leaf: [[(moves[leaf][(p, x)] + SMOOTHING) / (sum(moves[leaf][(p, y)] for y in (0, 1)) + 2 * SMOOTHING) for x in (0, 1)] for p in (0, 1)]
-        for leaf in (True, False)
-    }
-    return Model(odds, pass_on, 0.9)
+        of = f.split()[0] if f[0] == "l" else "t:"
+        rate = [(count[x][f] + PRIOR_WEIGHT) / (nodes[of, x] + 3 * PRIOR_WEIGHT) for x in (0, 1)]
+        if abs(x := math.log(rate[1] / rate[0])) >= WEAK:  # else many weak leaves would outvote the structure
+            odds[f] = x
+
+    def table(kind: str, before: list[list[float]], weight: float) -> list[list[float]]:
+        """Rates of a kind, drawn towards those of all its like."""
+        n = [[moves[kind, p, x] + weight * before[p][x] for x in (0, 1)] for p in (0, 1)]
+        return [[c / sum(row) for c in row] for row in n]
+
+    pass_on = {k: table(k, [[0.5, 0.5], [0.5, 0.5]], 2 * SMOOTHING) for k in ("t:", "l:")}
+    for kind in {k for k, _, _ in moves} - {"t:", "l:"}:
+        pass_on[kind] = table(kind, pass_on[kind[:2]], PRIOR_WEIGHT)
+    return Model(odds, pass_on, 0.999)
 
 
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[tuple[str, set[str]]]:
@@ -307,9 +316,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[tuple[s
         blocks = [keep(para("h1"))] if r.random() < 0.9 else []
         for _ in range(r.randint(1, 12)):
             x = r.random()
-            if x < 0.75:
+            if x < 0.66:
                 blocks.append(keep(para()))
-            elif x < 0.82:
+            elif x < 0.73:
                 blocks.append(keep(para(r.choice(["h2", "h3"]))))
             elif x < 0.88:
                 items = "".join(keep(para("li")) for _ in range(r.randint(1, 5)))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from chronolith.llm import html_extract, line_dedup, mixing, mtree, packing, quality, secret_scan, simhash, substring
+from chronolith.llm import html_extract, line_dedup, mixing, mtree, packing, quality, secret_scan, simhash, substring, toxicity
 from chronolith.llm.common import Workspace, components
 
 SF = "/root/testdata/sf0.001"
@@ -76,9 +76,9 @@ def test_html_held_out():
 
 def test_marginals_are_exact():
     """Messages give the marginals that summing over all labellings gives."""
-    model = html_extract.Model({"a": 1.2, "b": -0.7}, {True: [[0.9, 0.1], [0.3, 0.7]], False: [[0.8, 0.2], [0.4, 0.6]]}, 0.6)
+    model = html_extract.Model({"a": 1.2, "b": -0.7}, {"l:": [[0.9, 0.1], [0.3, 0.7]], "t:": [[0.8, 0.2], [0.4, 0.6]], "t:x": [[0.6, 0.4], [0.1, 0.9]]}, 0.6)
     p = html_extract.Page()
-    p.parent, p.feats, p.leaf = [-1, 0, 0, 1, 1, 2], [["a"], ["b"], [], ["a"], ["b"], ["a"]], [False, False, False, True, True, True]
+    p.parent, p.feats, p.leaf = [-1, 0, 0, 1, 1, 2], [["t:#", "a"], ["t:x", "b"], ["t:y"], ["l:x", "a"], ["l:x", "b"], ["l:y", "a"]], [False, False, False, True, True, True]
     total, on = 0.0, [0.0] * 6
     for m in range(64):
         x = [m >> i & 1 for i in range(6)]
@@ -86,7 +86,7 @@ def test_marginals_are_exact():
         for i in range(6):
             w *= model.node(p.feats[i])[x[i]]
             if i:
-                w *= model.pass_on[p.leaf[i]][x[p.parent[i]]][x[i]]
+                w *= model.move(p.feats[i])[x[p.parent[i]]][x[i]]
         total += w
         for i in range(6):
             on[i] += w * x[i]
@@ -454,6 +454,37 @@ def test_components(spark):
     assert got == {i: root(i) for i in up if root(i) != i}
 
 
+# 9. Toxicity
+
+
+def test_toxicity(spark):
+    """Held-out documents with planted words, whole or with endings, are told apart from the rest."""
+    r = np.random.default_rng(6)
+    parts = ["an", "the", "or", "in", "tion", "es", "re", "ou", "st", "en", "al", "ti"]
+    text, toxic = [], []
+    for i in range(1200):
+        w = ["".join(r.choice(parts, int(r.integers(1, 4)))) for _ in range(int(r.integers(20, 120)))]
+        bad = i % 5 == 0
+        for _ in range(int(r.integers(2, 6)) * bad):
+            w.insert(int(r.integers(0, len(w))), str(r.choice(["grobik", "vexxum", "zuckad", "grobikes"])))
+        text.append(" ".join(w))
+        toxic.append(int(bad))
+    text[7], text[14] = None, ""
+    docs = docs_of(spark, text)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)] + [(5, 1, None), (99999, 0, 1)], "doc_id bigint, quality int, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.scored(docs, labels).collect()}
+    assert len(got) == 1200 and all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in got.values())
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert [i for i in sorted(got) if got[i]["held_out"]] == sorted(held)
+    assert sum(got[i]["predicted"] == toxic[i] for i in held) >= 0.98 * len(held)
+    # Held-out labels change nothing.
+    other = spark.createDataFrame([(i, 1, t if zlib.crc32(str(i).encode()) % 4 != 2 else 1 - t) for i, t in enumerate(toxic)], "doc_id bigint, quality int, toxic int")
+    assert {x["doc_id"]: x["score"] for x in toxicity.scored(docs, other).collect()} == {i: x["score"] for i, x in got.items()}
+    assert toxicity.scored(empty(spark), labels).count() == 0
+    none = toxicity.scored(docs_of(spark, ODD), labels.where("false")).collect()
+    assert len(none) == len(ODD) and all(x["score"] == 0 for x in none)
+
+
 # 10. Substring dedup
 
 
