@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TRAIN_PAGES, TRAIN_SEED, SMOOTHING, PRIOR_WEIGHT, CLIP, WEAK = 600, 7, 0.5, 4.0, 7.0, 1.0
+TRAIN_PAGES, TRAIN_SEED, SMOOTHING, PRIOR_WEIGHT, CLIP, WEAK = 600, 7, 0.5, 4.0, 7.0, 1.2
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -171,7 +171,7 @@ def parse(source: str) -> Page:
             node = len(page.parent)
             page.parent.append(stack[-1][1])
             page.leaf.append(False)
-            page.feats.append([f"t:{tag}", *_marks(attrs)])
+            page.feats.append([f"t:{tag}", *(_marks(attrs) or [f"t:{tag} plain"])])
             if tag not in VOID and not attrs.rstrip().endswith("/"):
                 stack.append((tag, node))
         elif attrs and tag in ("span", "ins", "label") and "g:hidden" in _marks(attrs):
@@ -251,7 +251,7 @@ def train(pages: list[tuple[str, set[str]]]) -> Model:
             count[x].update(page.feats[i][1:])
     odds = {}
     for f in set(count[0]) | set(count[1]):
-        of = f.split()[0] if f[0] == "l" else "t:"
+        of = f.split()[0] if " " in f else "t:"
         rate = [(count[x][f] + PRIOR_WEIGHT) / (nodes[of, x] + 3 * PRIOR_WEIGHT) for x in (0, 1)]
         if abs(x := math.log(rate[1] / rate[0])) >= WEAK:  # else many weak leaves would outvote the structure
             odds[f] = x
