@@ -18,6 +18,7 @@ result; other columns are carried unchanged.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,14 @@ from pyspark.sql import types as T
 
 from .common import Workspace, components, shuffle_partitions
 from .simhash import Forest
-from .textkit import U, mix, runs, spans_hash
+from .textkit import U, mix, powers, runs, spans_hash
 
 SHINGLE, BINS, BANDS, ROWS, SIMILARITY = 8, 80, 16, 5, 0.8
 CHAR_BASE, BAND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Characters hashed at once; signatures in a bucket of band keys; lines of a group compared at once.
 PIECE, BUCKET, BLOCK = 1 << 20, 3_000_000, 256
-SEEN = 50_000
+SEEN, GATHER = 100_000, 1_500_000
+NO_MIN = np.iinfo(np.uint32).max
 NO_DOC = np.iinfo(np.int64).max
 _FILL: list[np.ndarray] = []
 
@@ -59,30 +61,44 @@ def signatures(lines: list[str]) -> np.ndarray:
     """Band keys (uint64, BANDS to a line) of non-empty lines."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    first = np.cumsum(size) - size
-    n = np.maximum(size - SHINGLE + 1, 1)
-    line = np.repeat(np.arange(len(lines)), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[line]
-    h = spans_hash(codes, start, np.minimum(start + SHINGLE, (first + size)[line]), CHAR_BASE)
-    cell = line * BINS + ((h >> U(40)) * U(BINS) >> U(24)).astype(np.int64)
-    low = np.full(len(lines) * BINS, np.iinfo(np.uint64).max, U)
-    np.minimum.at(low, cell, h)
-    low = low.reshape(-1, BINS)
-    empty = low == np.iinfo(np.uint64).max
+    end = np.cumsum(size)
+    low = np.full((len(lines), BINS), NO_MIN, np.uint32)
+    n = np.maximum(size - SHINGLE + 1, 0)
+    if n.any():
+        # One polynomial hash at every character, then without those that run past their line's end.
+        p, inverse = powers(CHAR_BASE, len(codes) + 1)
+        total = np.zeros(len(codes) + 1, U)
+        np.cumsum((codes + U(1)) * p[: len(codes)], out=total[1:])
+        h = total[SHINGLE:] - total[:-SHINGLE]
+        h *= inverse[: len(h)]
+        inside = np.ones(len(codes), bool)
+        for back in range(1, SHINGLE):
+            inside[(end - back)[size >= back]] = False
+        h = h[inside[: len(h)]]
+        h ^= h >> U(32)
+        h *= U(0x9FB21C651E98DF25)
+        cell = (h >> U(40)) * U(BINS) >> U(24)
+        cell += np.repeat(np.arange(len(lines), dtype=U) * U(BINS), n)
+        np.minimum.at(low.reshape(-1), cell.view(np.int64), (h >> U(8)).astype(np.uint32))
+    for i in np.flatnonzero(n == 0).tolist():
+        low[i] = zlib.crc32(lines[i].encode())
+    empty = low == NO_MIN
     todo = np.flatnonzero(empty.any(1))
     if len(todo):
-        got, was = low[todo], empty[todo]
-        out, still = got.copy(), was.copy()
+        got, still = low[todo], empty[todo]
+        filled = ~still
+        out = got.copy()
         for source in fill_order():
-            hit = still & ~was[:, source]
+            hit = still & filled[:, source]
             out[hit] = got[:, source][hit]
             still &= ~hit
             if not still.any():
                 break
         low[todo] = out
-    flat = low.reshape(-1)
-    starts = np.arange(len(lines) * BANDS) * ROWS
-    keys = spans_hash(flat, starts, starts + ROWS, BAND_BASE).reshape(-1, BANDS)
+    keys = np.zeros((len(lines), BANDS), U)
+    rows = low.reshape(len(lines), BANDS, ROWS).astype(U)
+    for r in range(ROWS):
+        keys = mix(keys * U(BAND_BASE) + rows[:, :, r] + U(r + 1))
     return mix(keys + np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -90,71 +106,97 @@ def line_id(raw: bytes) -> bytes:
     return hashlib.md5(raw, usedforsecurity=False).digest()
 
 
-LINES = "lid binary, doc_id bigint, row_key bigint, line_no int, bands binary"
+def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
+    """The lines that have a word, with their numbers."""
+    for no, line in enumerate((text or "").split("\n")):
+        if line and not line.isspace():
+            yield no, line
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line with a word; band keys with the first of equal lines that the task remembers."""
-    seen: set[bytes] = set()
-    cols: list[list] = [[], [], [], []]
-    fresh: list[str] = []
-    at: list[int] = []
-    size = 0
-
-    def table() -> pa.RecordBatch:
-        bands: list[bytes | None] = [None] * len(cols[0])
-        if fresh:
-            keys = np.ascontiguousarray(signatures(fresh)).view(np.uint8).reshape(len(fresh), -1)
-            for i, k in zip(at, keys, strict=True):
-                bands[i] = k.tobytes()
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-        arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(bands, pa.binary())], ["lid", "doc_id", "row_key", "line_no", "bands"])
+LINES = "lid binary, short bigint, doc_id bigint, row_key bigint, line_no int"
+
 
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line with a word, named by its MD5 and the first half of that."""
+    names = [x.split()[0] for x in LINES.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32()]
     for batch in batches:
+        lids: list[bytes] = []
+        cols: list[list] = [[], [], []]
+
+        def table(lids: list = lids, cols: list = cols) -> pa.RecordBatch:
+            short = np.frombuffer(b"".join(lids), np.int64).reshape(-1, 2)[:, 0]
+            arrays = [pa.array(lids, pa.binary()), pa.array(np.ascontiguousarray(short)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+            out = pa.RecordBatch.from_arrays(arrays, names)
+            lids.clear()
+            for c in cols:
+                c.clear()
+            return out
+
         for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for no, line in enumerate(text.split("\n")):
-                if not line or line.isspace():
-                    continue
-                lid = line_id(line.encode())
-                if lid not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(lid)
-                    fresh.append(line)
-                    at.append(len(cols[0]))
-                    size += len(line)
-                for c, v in zip(cols, (lid, doc, key, no), strict=True):
+            for no, line in lines_of(text):
+                lids.append(line_id(line.encode()))
+                for c, v in zip(cols, (doc, key, no), strict=True):
                     c.append(v)
-                if size >= PIECE or len(cols[0]) >= 50_000:
-                    yield table()
-                    cols, fresh, at, size = [[], [], [], []], [], [], 0
-    yield table()
+            if len(lids) >= 100_000:
+                yield table()
+        yield table()
 
 
 def _band_rows(buckets: int):
-    """Signatures as packed (band key, short line id) pairs, one row per bucket of keys."""
+    """Signatures as packed (band key, short line id) pairs, one row per bucket of keys.
+
+    Lines that a task has lately seen are passed over: their pairs are sent already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            short = np.frombuffer(b"".join(x[:8] for x in batch.column(0).to_pylist()), U)
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), U)
-            ids = np.repeat(short, BANDS)
-            b = ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+        seen: set[bytes] = set()
+        fresh: list[str] = []
+        ids: list[bytes] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def sign() -> None:
+            if fresh:
+                short = np.frombuffer(b"".join(x[:8] for x in ids), U)
+                held.append(np.stack([signatures(fresh).reshape(-1), np.repeat(short, BANDS)], 1))
+                fresh.clear()
+                ids.clear()
+
+        def table() -> pa.RecordBatch:
+            pairs = np.concatenate(held) if held else np.zeros((0, 2), U)
+            held.clear()
+            b = ((pairs[:, 0] >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
             order = np.argsort(b, kind="stable")
             kinds, first = np.unique(b[order], return_index=True)
-            pairs = np.stack([keys[order], ids[order]], 1)
-            blobs = [np.ascontiguousarray(p).tobytes() for p in np.split(pairs, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            blobs = [np.ascontiguousarray(p).tobytes() for p in np.split(pairs[order], first[1:])] if len(kinds) else []
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for _, line in lines_of(text):
+                    lid = line_id(line.encode())
+                    if lid in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(lid)
+                    fresh.append(line)
+                    ids.append(lid)
+                    size += len(line)
+                    if size >= PIECE:
+                        sign()
+                        size = 0
+                        if sum(map(len, held)) >= GATHER:
+                            yield table()
+        sign()
+        yield table()
 
     return run
 
 
 def _candidate_groups(table: pa.Table) -> pa.Table:
-    """(grp, n, idx, short): lines that share a band key; grp names the set of members."""
+    """(grp, short): lines that share a band key; grp names the set of members."""
     pairs = np.frombuffer(b"".join(table.column("blob").to_pylist()), U).reshape(-1, 2)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     key, ids = pairs[order, 0], pairs[order, 1]
@@ -167,9 +209,7 @@ def _candidate_groups(table: pa.Table) -> pa.Table:
     size = np.diff(np.append(first, len(key)))
     grp = mix(np.add.reduceat(mix(ids), first) + size.astype(U)) if len(first) else np.zeros(0, U)
     many = np.repeat(size > 1, size)
-    index = np.arange(len(key)) - np.repeat(first, size)
-    cols = [np.repeat(grp, size)[many].view(np.int64), np.repeat(size, size)[many], index[many].astype(np.int64), ids[many].view(np.int64)]
-    return pa.table([pa.array(c) for c in cols], ["grp", "n", "idx", "short"])
+    return pa.table([pa.array(np.repeat(grp, size)[many].view(np.int64)), pa.array(ids[many].view(np.int64))], ["grp", "short"])
 
 
 def _short(lid: bytes) -> int:
@@ -237,22 +277,22 @@ def removed_lines(ws: Workspace, docs: DataFrame, least: float = SIMILARITY) ->
     keyed = _keyed(docs.select("doc_id", "text")).select("id_0", "key_0", F.coalesce("text", F.lit("")).alias("text"))
     lines = ws.save(keyed.select("id_0", "key_0", "text").mapInArrow(_line_rows, LINES))
     first = F.min(F.struct("doc_id", "row_key", "line_no")).alias("first")
-    distinct = ws.save(lines.groupBy("lid").agg(first, F.max("bands").alias("bands")))
-    n = distinct.count()
-    buckets = max(shuffle_partitions(ws.spark), -(-n * BANDS // BUCKET))
-    bands = distinct.where("bands is not null").select("lid", "bands").mapInArrow(_band_rows(buckets), "bucket int, blob binary")
-    groups = bands.groupBy("bucket").applyInArrow(_candidate_groups, "grp bigint, n bigint, idx bigint, short bigint")
-    groups = ws.save(groups.distinct())
+    distinct = ws.save(lines.groupBy("lid", "short").agg(first))
+    buckets = max(shuffle_partitions(ws.spark), -(-lines.count() * BANDS // BUCKET))
+    bands = keyed.select("text").mapInArrow(_band_rows(buckets), "bucket int, blob binary")
+    groups = bands.groupBy("bucket").applyInArrow(_candidate_groups, "grp bigint, short bigint")
+    groups = ws.save(groups.select("grp", "short").distinct())
     ws.free()
     # The texts of the candidates, from the first document that has each.
     wanted = groups.select("short").distinct()
-    named = distinct.select("lid", "first", _signed(F.col("lid")).alias("short")).join(wanted, "short", "left_semi")
+    named = distinct.join(wanted, "short", "left_semi")
     by_doc = named.groupBy(F.col("first.doc_id").alias("i_"), F.col("first.row_key").alias("k_")).agg(
         F.collect_list(F.struct("lid", F.col("first.line_no").alias("line_no"))).alias("wanted")
     )
     by_doc = ws.save(by_doc)
     picked = keyed.join(by_doc, (F.col("id_0") == F.col("i_")) & (F.col("key_0") == F.col("k_"))).select("text", "wanted")
     picked = ws.save(picked.mapInArrow(_texts, "lid binary, short bigint, line string").dropDuplicates(["lid"]))
+    ws.drop(by_doc)
     ws.free()
     large = ws.save(groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("grp").alias("g_"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     rows = groups.join(picked, "short").select("grp", "lid", "line")
@@ -275,15 +315,6 @@ def removed_lines(ws: Workspace, docs: DataFrame, least: float = SIMILARITY) ->
     return gone.groupBy(F.col("doc_id").alias("i_"), F.col("row_key").alias("k_")).agg(F.collect_set("line_no").alias("gone"))
 
 
-def _signed(lid):
-    """The first 8 bytes of an id as a little-endian signed long, without leaving the JVM."""
-    at = [F.conv(F.hex(F.substring(lid, i + 1, 1)), 16, 10).cast("long") for i in range(8)]
-    out = at[0]
-    for i in range(1, 8):
-        out = out.bitwiseOR(F.shiftleft(at[i], 8 * i))
-    return out
-
-
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces text by its remaining lines and the last column, the lines gone, by counts."""
     for batch in batches:
