@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-Each document's hashed word counts are projected to a few dimensions by seeded random signs; the projected
-point, scaled by the normal distribution function to a grid, gets its key on the Hilbert curve. Documents
+Each document's hashed token counts are projected to a few dimensions by seeded random signs; the projected
+point, squeezed to a grid by a logistic curve, gets its key on the Hilbert curve. Documents
 are range-sorted by that key, so documents of like words become neighbours, and each range is packed along
 the curve: its token stream is cut into sequences of 2048, and what is left at its end, under 2048 tokens,
 into sequences whose lengths are powers of two, which take no padding.
@@ -15,10 +15,11 @@ id stays null; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import sys
 import types
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .textkit import BYTE_BASE, U, mix, spans_hash, text_blocks, words
+from .textkit import U, mix
 
-LENGTH, END_ID, DIMENSIONS, BITS, HASHED = 2048, 1, 4, 8, 1024
+LENGTH, END_ID, DIMENSIONS, BITS, HASHED, SPREAD = 2048, 1, 4, 8, 1024, 4.0
+END = END_ID.to_bytes(2, "little")
 #: Tokens of a range by design; words whose ids a task keeps at hand.
-RANGE, CACHE = 4_000_000, 300_000
+RANGE, CACHE = 4_000_000, 400_000
 SIGN_SEED = 11
 
 
@@ -41,38 +43,73 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> str:
+    """The character that stands for each byte in this kind of vocabulary: a printable one for itself, the others
+    for the characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(rest)) for b in range(256))
+
+
+MARKS = b".,;:!?"
+
+
+class Known(dict):
+    """Ids of chunks; those it lacks are looked up in the generation before, or made."""
+
+    def __init__(self, make, before: dict):
+        super().__init__()
+        self.make, self.before = make, before
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Token ids by white-space-separated chunk: this tokenizer drops white space and joins nothing across it,
-    so a text's ids are its chunks' ids in order. The ids of recent chunks are kept, in two generations."""
+    so a text's ids are its chunks' ids in order. It also lower-cases, and it parts letters from marks; so a
+    chunk is looked up in lower case, and a plain word's letters go straight to the tokenizer's merges.
+    The ids of recent chunks are kept, in two generations."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.merge = self.tok.model.tokenize
+        self.letters = byte_letters()
+        self.known = Known(self._fresh, {})
+
+    def _fresh(self, chunk: bytes) -> bytes:
+        core = chunk.rstrip(MARKS)
+        letters = self._plain(core)
+        if letters is None:
+            ids = self.tok.encode(chunk.decode(), add_special_tokens=False).ids
+        elif len(core) < len(chunk):
+            return self.known[core] + self.known[chunk[len(core) :]]
+        else:
+            ids = [t.id for t in self.merge(letters)]
+        return array("H", ids).tobytes()
+
+    def _plain(self, core: bytes) -> str | None:
+        """The lower-case letters of a word that the tokenizer takes as one run of letters (composed Latin)."""
+        if core.isalpha():
+            return core.lower().decode()
+        word = core.decode()
+        if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word):
+            return "".join(map(self.letters.__getitem__, word.lower().encode()))
+        return None
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 16-bit ids (all are below 65,536) with the end id."""
-        chunks = (text or "").encode().split()
-        got = list(map(self.new.get, chunks))
-        if None in got:
-            missing = {c for c, g in zip(chunks, got, strict=True) if g is None}
-            fresh = []
-            for c in missing:
-                g = self.old.get(c)
-                if g is None:
-                    fresh.append(c)
-                else:
-                    self.new[c] = g
-            if fresh:
-                for c, e in zip(fresh, self.tok.encode_batch([c.decode() for c in fresh], add_special_tokens=False), strict=True):
-                    self.new[c] = np.array(e.ids, "<u2").tobytes()
-            got = list(map(self.new.__getitem__, chunks))
-            if len(self.new) > CACHE:
-                self.old, self.new = self.new, {}
-        got.append(np.array([END_ID], "<u2").tobytes())
-        return b"".join(got)
+        raw = (text or "").encode()
+        chunks = (raw if b"<|" in raw else raw.lower()).split()  # special tokens are told by their case
+        if len(self.known) > CACHE:
+            self.known = Known(self._fresh, dict(self.known))
+        return b"".join(map(self.known.__getitem__, chunks)) + END
 
 
 def encoder(path: str) -> Encoder:
@@ -115,25 +152,24 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def keys_of(column: pa.Array) -> np.ndarray:
-    """The Hilbert key of every text."""
-    signs = np.random.default_rng(SIGN_SEED).choice([-1.0, 1.0], (HASHED, DIMENSIONS))
-    out = np.zeros(len(column), np.int64)
-    for first, end, raw, bounds in text_blocks(column):
-        s, e, wb = words(raw, bounds)
-        h = mix(spans_hash(raw, s, e, BYTE_BASE))
-        cell = (h % U(HASHED)).astype(np.int64)
-        sign = np.where((h >> U(40)) & U(1), 1.0, -1.0)
-        n = end - first
-        point = np.zeros((n, DIMENSIONS))
-        row = np.repeat(np.arange(n), np.diff(wb))
-        for d in range(DIMENSIONS):
-            point[:, d] = np.bincount(row, weights=sign * signs[cell, d], minlength=n)
-        # A sum of n random signs has standard deviation sqrt(n); like documents share its direction.
-        z = point / np.sqrt(np.maximum(np.diff(wb), 1))[:, None]
-        cdf = 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(z / 8))
-        out[first:end] = hilbert(np.minimum((cdf * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
-    return out
+def projection(ids: int = 1 << 16) -> np.ndarray:
+    """What each token id adds to a document's point: its hashed cell's random signs, with its hashed sign."""
+    signs = np.random.default_rng(SIGN_SEED).choice([-1.0, 1.0], (HASHED, DIMENSIONS)).astype(np.float32)
+    h = mix(np.arange(ids, dtype=U))
+    sign = np.where((h >> U(40)) & U(1), np.float32(1), np.float32(-1))
+    return signs[(h % U(HASHED)).astype(np.int64)] * sign[:, None]
+
+
+def keys_of(ids: list[bytes], add: np.ndarray) -> np.ndarray:
+    """The Hilbert key of every document, from its token ids."""
+    point = np.zeros((len(ids), DIMENSIONS))
+    size = np.array([len(x) // 2 for x in ids], float)
+    for i, x in enumerate(ids):
+        point[i] = add[np.frombuffer(x, "<u2")].sum(0)
+    # A sum of n random signs has standard deviation sqrt(n); common words carry it further out.
+    z = point / np.sqrt(size)[:, None]
+    cdf = 1 / (1 + np.exp(-np.clip(z / SPREAD, -30, 30)))
+    return hilbert(np.minimum((cdf * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
 ENCODED = "doc_id bigint, key bigint, tie bigint, n bigint, ids binary"
@@ -143,9 +179,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, key, tie, n, ids): the curve key and the token ids of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, add = encoder(path), projection()
         for batch in batches:
-            ids, texts, ties, keys, size = [], batch.column(1).to_pylist(), batch.column(2), keys_of(batch.column(1)), 0
+            ids, texts, ties, size = [], batch.column(1).to_pylist(), batch.column(2), 0
             done = 0
             for i, t in enumerate(texts):
                 ids.append(enc.encode(t))
@@ -153,7 +189,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 if size > 1 << 25 or i + 1 == len(texts):
                     part = slice(done, i + 1)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[part], pa.array(keys[part]), ties[part], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                        [batch.column(0)[part], pa.array(keys_of(ids, add)), ties[part], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                         ["doc_id", "key", "tie", "n", "ids"],
                     )
                     ids, size, done = [], 0, i + 1
