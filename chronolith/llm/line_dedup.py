@@ -34,7 +34,7 @@ from .textkit import U, mix, powers, runs, spans_hash
 SHINGLE, BINS, BANDS, ROWS, SIMILARITY = 8, 80, 16, 5, 0.8
 CHAR_BASE, BAND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Characters hashed at once; signatures in a bucket of band keys; lines of a group compared at once.
-PIECE, BUCKET, BLOCK = 1 << 20, 3_000_000, 256
+PIECE, BUCKET, BLOCK = 1 << 17, 3_000_000, 256
 SEEN, GATHER = 100_000, 1_500_000
 NO_MIN = np.iinfo(np.uint32).max
 NO_DOC = np.iinfo(np.int64).max

@@ -45,7 +45,7 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(U))
 
 
-def text_blocks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, size: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Splits a string column (nulls count as empty) into runs of rows of about `size` bytes.
 
     Yields (first row, end row, bytes of those rows, row bounds in these bytes).
