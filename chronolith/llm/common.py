@@ -54,6 +54,16 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+def own(name: str) -> str:
+    """A working column's name, apart from whatever columns the caller's rows may have."""
+    return f"__chronolith_{name}"
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names for select, whatever characters they hold."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

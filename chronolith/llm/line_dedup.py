@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, components, shuffle_partitions
+from .common import Workspace, components, own, quoted, shuffle_partitions
 from .simhash import Forest
-from .textkit import U, mix, powers, runs, spans_hash
+from .textkit import U, mix, powers, runs
 
 SHINGLE, BINS, BANDS, ROWS, SIMILARITY = 8, 80, 16, 5, 0.8
 CHAR_BASE, BAND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -41,12 +41,9 @@ NO_DOC = np.iinfo(np.int64).max
 _FILL: list[np.ndarray] = []
 
 
-def shingle_hashes(text: str) -> np.ndarray:
-    """Distinct hashes of a line's character shingles."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    n = max(1, len(codes) - SHINGLE + 1)
-    starts = np.arange(n)
-    return np.unique(spans_hash(codes, starts, np.minimum(starts + SHINGLE, len(codes)), CHAR_BASE))
+def shingles(line: str) -> frozenset[str]:
+    """A line's distinct runs of SHINGLE characters, or the whole of a shorter one."""
+    return frozenset([line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))])
 
 
 def fill_order() -> np.ndarray:
@@ -198,6 +195,13 @@ def _band_rows(buckets: int):
 def _candidate_groups(table: pa.Table) -> pa.Table:
     """(grp, short): lines that share a band key; grp names the set of members."""
     pairs = np.frombuffer(b"".join(table.column("blob").to_pylist()), U).reshape(-1, 2)
+    key = np.sort(pairs[:, 0])
+    shared = np.unique(key[1:][key[1:] == key[:-1]])  # keys that more than one row holds
+    if len(shared):
+        at = np.minimum(np.searchsorted(shared, pairs[:, 0]), len(shared) - 1)
+        pairs = pairs[shared[at] == pairs[:, 0]]
+    else:
+        pairs = pairs[:0]
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     key, ids = pairs[order, 0], pairs[order, 1]
     fresh = np.ones(len(key), bool)
@@ -248,7 +252,7 @@ def _verified(least: float):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         for (_, p, q), (blk, lid, line) in runs(batches, 3):
-            sets = [frozenset(shingle_hashes(x).tolist()) for x in line]
+            sets = [shingles(x) for x in line]
             forest = Forest(len(lid))
             left = [i for i in range(len(lid)) if blk[i] == p]
             right = left if p == q else [i for i in range(len(lid)) if blk[i] == q]
@@ -267,17 +271,21 @@ def _verified(least: float):
     return run
 
 
+N_LINES, N_REMOVED = own("n_lines"), own("n_removed")
+ID, KEY, GONE, IN_ID, IN_KEY = (own(n) for n in ("id", "key", "gone", "in_id", "in_key"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("id_0", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))).withColumn("key_0", F.xxhash64(text))
+    return docs.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))).withColumn(KEY, F.xxhash64(text))
 
 
 def removed_lines(ws: Workspace, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(id_0, key_0, gone): the line numbers that go from each document that loses any."""
-    keyed = _keyed(docs.select("doc_id", "text")).select("id_0", "key_0", F.coalesce("text", F.lit("")).alias("text"))
-    lines = ws.save(keyed.select("id_0", "key_0", "text").mapInArrow(_line_rows, LINES))
+    """(in_id, in_key, gone): the line numbers that go from each document that loses any."""
+    keyed = _keyed(docs.select("doc_id", "text")).select(ID, KEY, F.coalesce("text", F.lit("")).alias("text"))
+    lines = ws.save(keyed.select(ID, KEY, "text").mapInArrow(_line_rows, LINES))
     first = F.min(F.struct("doc_id", "row_key", "line_no")).alias("first")
-    distinct = ws.save(lines.groupBy("lid", "short").agg(first))
+    distinct = ws.save(lines.groupBy("lid", "short").agg(first, F.count("*").alias("times")))
     buckets = max(shuffle_partitions(ws.spark), -(-lines.count() * BANDS // BUCKET))
     bands = keyed.select("text").mapInArrow(_band_rows(buckets), "bucket int, blob binary")
     groups = bands.groupBy("bucket").applyInArrow(_candidate_groups, "grp bigint, short bigint")
@@ -286,11 +294,11 @@ def removed_lines(ws: Workspace, docs: DataFrame, least: float = SIMILARITY) ->
     # The texts of the candidates, from the first document that has each.
     wanted = groups.select("short").distinct()
     named = distinct.join(wanted, "short", "left_semi")
-    by_doc = named.groupBy(F.col("first.doc_id").alias("i_"), F.col("first.row_key").alias("k_")).agg(
+    by_doc = named.groupBy(F.col("first.doc_id").alias(IN_ID), F.col("first.row_key").alias(IN_KEY)).agg(
         F.collect_list(F.struct("lid", F.col("first.line_no").alias("line_no"))).alias("wanted")
     )
     by_doc = ws.save(by_doc)
-    picked = keyed.join(by_doc, (F.col("id_0") == F.col("i_")) & (F.col("key_0") == F.col("k_"))).select("text", "wanted")
+    picked = keyed.join(by_doc, (F.col(ID) == F.col(IN_ID)) & (F.col(KEY) == F.col(IN_KEY))).select("text", "wanted")
     picked = ws.save(picked.mapInArrow(_texts, "lid binary, short bigint, line string").dropDuplicates(["lid"]))
     ws.drop(by_doc)
     ws.free()
@@ -306,13 +314,16 @@ def removed_lines(ws: Workspace, docs: DataFrame, least: float = SIMILARITY) ->
         dealt = r.select("grp", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "lid", "line")
     dealt = dealt.repartition(shuffle_partitions(ws.spark), "grp", "p", "q").sortWithinPartitions("grp", "p", "q")
     roots = components(ws, dealt.mapInArrow(_verified(least), "a binary, b binary"))
-    # The line that stays for each component, then every other occurrence.
-    member = ws.save(distinct.select("lid", "first").join(roots, F.col("lid") == F.col("x"), "left").select("lid", "first", F.coalesce("root", "lid").alias("root")))
+    # The line that stays for each component; lines that stand alone and occur once need none.
+    mate = roots.unionByName(roots.select(F.col("root").alias("x"), "root")).groupBy("x").agg(F.min("root").alias("root"))
+    member = distinct.select("lid", "first", "times").join(mate, F.col("lid") == F.col("x"), "left").where("root is not null or times > 1")
+    member = ws.save(member.select("lid", "first", F.coalesce("root", "lid").alias("root")))
     stays = ws.save(member.groupBy("root").agg(F.min("first").alias("stays")))
     keep = ws.save(member.join(stays, "root").select(F.col("lid").alias("l_"), "stays"))
+    ws.free()
     here = F.struct("doc_id", "row_key", "line_no")
     gone = lines.join(keep, F.col("lid") == F.col("l_")).where(here != F.col("stays"))
-    return gone.groupBy(F.col("doc_id").alias("i_"), F.col("row_key").alias("k_")).agg(F.collect_set("line_no").alias("gone"))
+    return gone.groupBy(F.col("doc_id").alias(IN_ID), F.col("row_key").alias(IN_KEY)).agg(F.collect_set("line_no").alias(GONE))
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,26 +338,26 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines.append(len(split))
             removed.append(len(drop))
         arrays = [pa.array(texts, pa.string()) if i == t else c for i, c in enumerate(batch.columns[:g])]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*batch.schema.names[:g], "n_lines_0", "n_removed_0"])
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*batch.schema.names[:g], N_LINES, N_REMOVED])
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents with their remaining lines as text, and n_lines_0 and n_removed_0."""
+    """The documents with their remaining lines as text, and the numbers of lines and of those removed."""
     ws = Workspace(docs.sparkSession)
     names = docs.columns
     gone = ws.save(removed_lines(ws, docs, least))
     ws.free()
-    out = _keyed(docs).join(gone, (F.col("id_0") == F.col("i_")) & (F.col("key_0") == F.col("k_")), "left").select(*names, "gone")
-    fields = [T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField(n, T.LongType()) for n in ("n_lines_0", "n_removed_0")]
+    out = _keyed(docs).join(gone, (F.col(ID) == F.col(IN_ID)) & (F.col(KEY) == F.col(IN_KEY)), "left").select(*quoted(names), GONE)
+    fields = [T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField(n, T.LongType()) for n in (N_LINES, N_REMOVED)]
     return out.mapInArrow(_rebuilt, T.StructType(fields))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents with their remaining lines, in their own columns."""
-    return deduplicated(docs).select(*docs.columns)
+    return deduplicated(docs).select(*quoted(docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text of every document."""
     d = deduplicated(docs.select("doc_id", "text"))
-    return d.select("doc_id", F.col("n_lines_0").alias("n_lines"), F.col("n_removed_0").alias("n_removed"), "text")
+    return d.select("doc_id", F.col(N_LINES).alias("n_lines"), F.col(N_REMOVED).alias("n_removed"), "text")

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, own, quoted
 from .textkit import WORD_RE
 
 #: Weights of the sources in order, repeating; the mix's share of all words; the cap on repeats.
@@ -155,16 +155,16 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
     ws = Workspace(docs.sparkSession)
     rows, _, _ = mix(ws, ws.save(light(docs)))
-    times = rows.where("size > 0").select(
-        F.col("doc_id").alias("id_"), F.col("tie").alias("tie_"), F.expr("int((2 * taken + size) div (2 * size))").alias("n_")
-    ).groupBy("id_", "tie_").agg(F.sum("n_").alias("n_"), F.count("*").alias("rows_"))
-    times = ws.save(times.where("n_ > 0"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("tie_0", F.md5(text.cast("binary")))
-    out = keyed.join(times, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tie_0") == F.col("tie_")))
+    in_id, in_tie, n, alike, tie, copy = (own(x) for x in ("in_id", "in_tie", "n", "alike", "tie", "copy"))
+    whole = F.expr("int((2 * taken + size) div (2 * size))")
+    times = rows.where("size > 0").select(F.col("doc_id").alias(in_id), F.col("tie").alias(in_tie), whole.alias(n))
+    times = times.groupBy(in_id, in_tie).agg(F.sum(n).alias(n), F.count("*").alias(alike))
+    times = ws.save(times.where(F.col(n) > 0))
+    keyed = docs.withColumn(tie, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    out = keyed.join(times, F.col("doc_id").eqNullSafe(F.col(in_id)) & (F.col(tie) == F.col(in_tie)))
     # Rows that repeat id and text share their copies evenly, rounded up.
-    out = out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n_") / F.col("rows_")).cast("int"))))
-    return out.select(*names)
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(n) / F.col(alike)).cast("int"))))
+    return out.select(*quoted(names))
 
 
 def oracle(weights=WEIGHTS) -> str:

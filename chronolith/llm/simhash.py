@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, shuffle_partitions
+from .common import Workspace, components, own, quoted, shuffle_partitions
 from .textkit import runs
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -233,22 +233,14 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     best = fps.join(found, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "row_key"))).alias("best")
     )
-    stay = ws.save(best.select(F.col("best.doc_id").alias("id_"), F.col("best.row_key").alias("key_")))
-    keyed = docs.withColumn("key_0", _row_key_column())
-    hit = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_0") == F.col("key_")), "left_semi")
-    return _first_of_equal(hit, names)
-
-
-def _row_key_column():
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    key, in_id, in_key = own("key"), own("in_id"), own("in_key")
+    stay = ws.save(best.select(F.col("best.doc_id").alias(in_id), F.col("best.row_key").alias(in_key)))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    hit = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col(in_id)) & (F.col(key) == F.col(in_key)), "left_semi")
+    return hit.dropDuplicates(["doc_id", key]).select(*quoted(names))
 
 
 def _row_keys(batch: pa.RecordBatch) -> list[int]:
     t = batch.schema.get_field_index("text")
     out = np.array([xxhash.xxh64_intdigest((x or "").encode(), SEED) for x in batch.column(t).to_pylist()], np.uint64)
     return out.view(np.int64).tolist()
-
-
-def _first_of_equal(df: DataFrame, names: list[str]) -> DataFrame:
-    """One row of those that share id and text."""
-    return df.dropDuplicates(["doc_id", "key_0"]).select(*names)
