@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained, on ordinary text and on toxic text; the trainer of the toxic one
 sees the windows of toxic documents that set them apart, those that several hold and ordinary ones hardly
-ever do. A window is a word with the space before it, in a fixed frame that both dictionaries know, so that
+ever do. A window is a word with the space before it (less the marks that end it), in a fixed frame that both dictionaries know, so that
 a block's fixed cost is the same in both. Every window is compressed with the ordinary dictionary and with
 the toxic one laid after it; the bytes that the latter saves are the window's distance. A document is
 described by how many of its windows reach each of a few distances, and a logistic curve over these counts,
@@ -38,16 +38,21 @@ LEAST_DOCS, LEAST_RATIO, HEAD = 3, 20, 5
 FRAME, TAIL = bytes(range(0x80, 0xA0)), bytes(range(0xE0, 0xF4))
 #: Distances, in bytes saved and as a share of the window, whose counts describe a document.
 STEPS, SHARES = (1, 2, 3, 4, 5), (0.2, 0.3, 0.4, 0.5, 0.6)
-CACHE = 200_000
+CACHE = 300_000
+MARKS = b".,;:!?"
 
 
 def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def chunks(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().split()
+
+
 def windows(text: str | None) -> list[bytes]:
-    """The words of a text, lower-cased, each with the space before it."""
-    return [b" " + w for w in (text or "").lower().encode().split()]
+    """The words of a text, lower-cased, without the marks that end them, each with the space before it."""
+    return [b" " + (w.rstrip(MARKS) or w) for w in chunks(text)]
 
 
 def uncopied(texts: list[str]) -> list[str]:
@@ -83,13 +88,28 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
         held = [Counter(x for t in part for x in {form(w) for w in windows(t)}) for part in (ordinary, toxic)]
         return {x for x, n in held[1].items() if len(x) > 3 and n >= least and n * rate >= LEAST_RATIO * held[0][x]}
 
-    bare = lambda w: w.rstrip(b".,;:!?")
-    whole, heads = apart(bare), apart(lambda w: w[:HEAD] if len(w) > HEAD else b"")
-    marks = [b"".join(x for w in windows(t) if (x := bare(w)) in whole or x[:HEAD] in heads) for t in toxic]
+    whole, heads = apart(lambda w: w), apart(lambda w: w[:HEAD] if len(w) > HEAD else b"")
+    marks = [b"".join(w for w in windows(t) if w in whole or w[:HEAD] in heads) for t in toxic]
     common = trained([b"".join(windows(t)) for t in ordinary], DICT_BYTES[0])
     return common + trained([m for m in marks if m], DICT_BYTES[1]) + FRAME + TAIL, common + FRAME + TAIL
 
 
+class Known(dict):
+    """What is known of each chunk; those it lacks are looked up in the generation before, or measured."""
+
+    def __init__(self, measure, before: dict):
+        super().__init__()
+        self.measure, self.before = measure, before
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        got = self.before.get(chunk)
+        if got is None:
+            word = chunk.rstrip(MARKS)
+            got = self[word] if word and word != chunk else self.measure(b" " + chunk)
+        self[chunk] = got
+        return got
+
+
 class Distance:
     """Bytes that the toxic dictionary saves on a window; recent windows are kept."""
 
@@ -103,22 +123,26 @@ class Distance:
             d.precompute_compress(compression_params=params)
             made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
         self.a, self.b = made
-        self.kept: dict[bytes, int] = {}
+        self.known = Known(self.measure, {})
+
+    def saved(self, window: bytes) -> int:
+        framed = FRAME + window + TAIL
+        return len(self.b.compress(framed)) - len(self.a.compress(framed))
 
-    def of(self, found: list[bytes]) -> list[int]:
-        kept = self.kept
-        if len(kept) > CACHE:
-            kept.clear()
-        for w in set(found) - kept.keys():
-            kept[w] = len(self.b.compress(FRAME + w + TAIL)) - len(self.a.compress(FRAME + w + TAIL))
-        return list(map(kept.__getitem__, found))
+    def measure(self, window: bytes) -> bytes:
+        """Two bytes: what is saved, and that as a share of the window in fiftieths."""
+        d = max(0, self.saved(window))
+        return bytes((min(d, 31), min(50 * d // len(window), 63)))
 
     def features(self, text: str | None) -> np.ndarray:
-        found = windows(text) or [b" "]
-        d = np.array(self.of(found))
-        share = d / np.fromiter(map(len, found), float, len(found))
-        counts = [int((d >= s).sum()) for s in STEPS] + [int((share >= s).sum()) for s in SHARES]
-        return np.concatenate([np.log1p(counts), [c / len(d) for c in counts], [min(d.max(), 20) / 10, share.max()]])
+        if len(self.known) > CACHE:
+            self.known = Known(self.measure, dict(self.known))
+        found = np.frombuffer(b"".join(map(self.known.__getitem__, chunks(text))) or b"\0\0", np.uint8).reshape(-1, 2)
+        n = len(found)
+        hit = found[found[:, 0] > 0]
+        counts = [int((hit[:, 0] >= s).sum()) for s in STEPS] + [int((hit[:, 1] >= 50 * s).sum()) for s in SHARES]
+        top = hit.max(0) if len(hit) else (0, 0)
+        return np.concatenate([np.log1p(counts), [c / n for c in counts], [min(top[0], 20) / 10, top[1] / 50]])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
