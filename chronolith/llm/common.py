@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,9 +50,14 @@ class Workspace:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def free(self) -> None:
-        """Lets Spark's cleaner remove shuffle files that no live plan refers to."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Lets Spark's cleaner remove shuffle files that no live plan refers to.
+
+        The first round drops the plans, the second what only they referred to; the cleaner works beside us.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.4)
 
 
 def own(name: str) -> str:

@@ -4,8 +4,8 @@ Lines (split at line feeds) are first made distinct by their MD5. The shingles o
 of 8 characters (or the whole of a shorter line), are hashed once into 80 bins whose minima are the
 signature; an empty bin copies a filled one in a fixed order. Sixteen bands of five minima make candidate
 groups: two lines of similarity 0.8 share a band with probability 0.998. Groups with the same members
-collapse to one, and within a group the exact Jaccard similarity of the shingle sets decides, at 0.8 or
-more. A group sends on a spanning forest of its links, never its pairs; a large group is dealt out as pairs
+collapse to one, and within a group the exact Jaccard similarity of the shingle sets (as 64-bit hashes)
+decides, at 0.8 or more. A group sends on a spanning forest of its links, never its pairs; a large group is dealt out as pairs
 of blocks. Distributed union-find makes the components, and one line of each stays: the first by
 (document id, text hash, line number).
 
@@ -18,7 +18,6 @@ result; other columns are carried unchanged.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,26 +40,13 @@ NO_DOC = np.iinfo(np.int64).max
 _FILL: list[np.ndarray] = []
 
 
-def shingles(line: str) -> frozenset[str]:
-    """A line's distinct runs of SHINGLE characters, or the whole of a shorter one."""
-    return frozenset([line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))])
-
-
-def fill_order() -> np.ndarray:
-    """For each bin, the order in which it looks for a filled one."""
-    if not _FILL:
-        r = np.random.default_rng(3)
-        _FILL.append(np.stack([r.permutation(BINS) for _ in range(BINS)], 1))
-    return _FILL[0]
-
-
-def signatures(lines: list[str]) -> np.ndarray:
-    """Band keys (uint64, BANDS to a line) of non-empty lines."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all the lines' shingles, in order, and how many each line has; repeats included."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     end = np.cumsum(size)
-    low = np.full((len(lines), BINS), NO_MIN, np.uint32)
     n = np.maximum(size - SHINGLE + 1, 0)
+    h = np.zeros(0, U)
     if n.any():
         # One polynomial hash at every character, then without those that run past their line's end.
         p, inverse = powers(CHAR_BASE, len(codes) + 1)
@@ -74,11 +60,41 @@ def signatures(lines: list[str]) -> np.ndarray:
         h = h[inside[: len(h)]]
         h ^= h >> U(32)
         h *= U(0x9FB21C651E98DF25)
-        cell = (h >> U(40)) * U(BINS) >> U(24)
-        cell += np.repeat(np.arange(len(lines), dtype=U) * U(BINS), n)
-        np.minimum.at(low.reshape(-1), cell.view(np.int64), (h >> U(8)).astype(np.uint32))
-    for i in np.flatnonzero(n == 0).tolist():
-        low[i] = zlib.crc32(lines[i].encode())
+    short = np.flatnonzero(n == 0)
+    if len(short):  # such a line is its own only shingle
+        own_hash = np.array([int.from_bytes(line_id(lines[i].encode())[:8], "little") for i in short.tolist()], U)
+        h = np.insert(h, np.cumsum(n)[short], own_hash)
+        n = np.maximum(n, 1)
+    return h, n
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingle hashes of each line, ascending."""
+    h, n = shingle_hashes(lines)
+    out = []
+    for part in np.split(h, np.cumsum(n)[:-1]):
+        part = np.sort(part)
+        new = np.ones(len(part), bool)
+        np.not_equal(part[1:], part[:-1], out=new[1:])
+        out.append(part[new])
+    return out
+
+
+def fill_order() -> np.ndarray:
+    """For each bin, the order in which it looks for a filled one."""
+    if not _FILL:
+        r = np.random.default_rng(3)
+        _FILL.append(np.stack([r.permutation(BINS) for _ in range(BINS)], 1))
+    return _FILL[0]
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """Band keys (uint64, BANDS to a line) of non-empty lines."""
+    h, n = shingle_hashes(lines)
+    low = np.full((len(lines), BINS), NO_MIN, np.uint32)
+    cell = (h >> U(40)) * U(BINS) >> U(24)
+    cell += np.repeat(np.arange(len(lines), dtype=U) * U(BINS), n)
+    np.minimum.at(low.reshape(-1), cell.view(np.int64), (h >> U(8)).astype(np.uint32))
     empty = low == NO_MIN
     todo = np.flatnonzero(empty.any(1))
     if len(todo):
@@ -232,12 +248,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lids, pa.binary()), pa.array([_short(x) for x in lids], pa.int64()), pa.array(lines, pa.string())], ["lid", "short", "line"])
 
 
-def similar(a: frozenset, b: frozenset, least: float) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether the Jaccard similarity of two non-empty sets is at least `least`, sizes first."""
-    small, large = sorted((len(a), len(b)))
-    if small < least * large:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
-    both = len(a & b)
+    every = np.concatenate((a, b))
+    every.sort()
+    both = int(np.count_nonzero(every[1:] == every[:-1]))
     return both >= least * (len(a) + len(b) - both)
 
 
@@ -252,7 +269,7 @@ def _verified(least: float):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         for (_, p, q), (blk, lid, line) in runs(batches, 3):
-            sets = [shingles(x) for x in line]
+            sets = shingle_sets(line.tolist())
             forest = Forest(len(lid))
             left = [i for i in range(len(lid)) if blk[i] == p]
             right = left if p == q else [i for i in range(len(lid)) if blk[i] == q]

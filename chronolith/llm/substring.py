@@ -7,7 +7,7 @@ words or more is found by an anchor. Anchors whose block also occurs in another
 also starts in a document with a smaller id. The union of those windows is the maximal exact repeat.
 
 Windows travel as packed arrays, one row per (bucket of hashes, run of documents), so that a window costs
-about 10 bytes of shuffle. Buckets and document chunks are numbered by the size of the table and so hold a
+about 7 bytes of shuffle. Buckets and document chunks are numbered by the size of the table and so hold a
 bounded number of windows; a bucket that grows past its bound all the same, for one hash is very common, is
 dealt over several tasks, which first agree on the least document of each hash.
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -41,14 +41,25 @@ REPLY = "chunk int, blob binary"
 SECOND_BASE = 0x27D4EB2F165667C5
 
 
+#: Kinds that packed numbers are kept in.
+KINDS = [np.uint8, np.uint16, np.uint32, np.int64, np.uint64]
+
+
+def _least_kind(x: np.ndarray) -> type:
+    """The narrowest kind that holds these numbers."""
+    if x.dtype == np.uint64:
+        return np.uint64
+    low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    return next(k for k in KINDS[:4] if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+
+
 class Entries:
     """Windows of documents: hash (two parts), position, and the document each belongs to."""
 
-    __slots__ = ("doc_id", "row_key", "chunk", "doc", "pos", "h", "h2")
+    __slots__ = ("doc_id", "tag", "doc", "pos", "h", "h2")
 
-    def __init__(self, doc_id, row_key, chunk, doc, pos, h, h2):
-        self.doc_id, self.row_key, self.chunk = doc_id, row_key, chunk
-        self.doc, self.pos, self.h, self.h2 = doc, pos, h, h2
+    def __init__(self, doc_id, tag, doc, pos, h, h2):
+        self.doc_id, self.tag, self.doc, self.pos, self.h, self.h2 = doc_id, tag, doc, pos, h, h2
 
     @staticmethod
     def concat(parts: list[Entries]) -> Entries:
@@ -57,58 +68,53 @@ class Entries:
         base = np.cumsum([0, *(len(p.doc_id) for p in parts)])[:-1]
         cat = lambda name: np.concatenate([getattr(p, name) for p in parts])
         h2 = cat("h2") if parts[0].h2 is not None else None
-        return Entries(cat("doc_id"), cat("row_key"), cat("chunk"), np.concatenate([p.doc + b for p, b in zip(parts, base, strict=True)]), cat("pos"), cat("h"), h2)
+        return Entries(cat("doc_id"), cat("tag"), np.concatenate([p.doc + np.int32(b) for p, b in zip(parts, base, strict=True)]), cat("pos"), cat("h"), h2)
 
     def pick(self, at: np.ndarray) -> Entries:
         """These entries, which must be in (document, position) order, with only the documents they need."""
         doc = self.doc[at]
         used, doc = np.unique(doc, return_inverse=True)
-        return Entries(self.doc_id[used], self.row_key[used], self.chunk[used], doc.astype(np.int32), self.pos[at], self.h[at], None if self.h2 is None else self.h2[at])
+        return Entries(self.doc_id[used], self.tag[used], doc.astype(np.int32), self.pos[at], self.h[at], None if self.h2 is None else self.h2[at])
 
     def pack(self, hashes: bool = True) -> bytes:
-        """Entries in (document, position) order as bytes; positions as steps of 2 bytes where they fit."""
+        """Entries in (document, position) order as bytes: steps of document ids, tags, counts and positions in
+        as few bytes as they need; of hashes the lower 32 bits, or all 96 where the second part is there."""
         n, d = len(self.pos), len(self.doc_id)
-        step = self.pos.astype(np.int64).copy()
         same = self.doc[1:] == self.doc[:-1]
+        step = self.pos.astype(np.int64).copy()
         step[1:][same] -= self.pos[:-1][same]
-        wide = bool(n and step.max() >= 1 << 16)
-        head = np.array([n, d, wide, hashes and self.h2 is not None, hashes], np.int64)
-        out = [head, self.doc_id.astype(np.int64), self.row_key.astype(np.int64), self.chunk.astype(np.int32), np.bincount(self.doc, minlength=d).astype(np.uint32), step.astype(np.uint32 if wide else np.uint16)]
+        ids = self.doc_id.astype(np.int64)
+        parts = [(np.diff(ids, prepend=ids[:1]) if d else ids), self.tag.astype(np.uint32), np.bincount(self.doc, minlength=d), step]
+        whole = hashes and self.h2 is not None
         if hashes:
-            whole = self.h2 is not None
-            out.append(np.ascontiguousarray(self.h).view(np.uint8).reshape(n, 8)[:, : 8 if whole else 6])
-            if whole:
-                out.append(self.h2.astype(np.uint32))
-        return b"".join(np.ascontiguousarray(x).tobytes() for x in out)
+            parts.append(self.h if whole else (self.h & U(0xFFFFFFFF)).astype(np.uint32))
+        if whole:
+            parts.append(self.h2.astype(np.uint32))
+        kinds = [_least_kind(x) for x in parts]
+        head = np.array([n, d, ids[0] if d else 0, whole, hashes, *(KINDS.index(k) for k in kinds), *[0] * (6 - len(kinds))], np.int64)
+        return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, *(x.astype(k) for x, k in zip(parts, kinds, strict=True))))
 
     @staticmethod
     def unpack(blob: bytes) -> Entries:
-        n, d, wide, whole, hashes = np.frombuffer(blob, np.int64, 5).tolist()
-        at = 40
+        n, d, first_id, whole, hashes, *kinds = np.frombuffer(blob, np.int64, 11).tolist()
+        at = 88
 
-        def take(kind, count: int) -> np.ndarray:
+        def take(k: int, count: int) -> np.ndarray:
             nonlocal at
-            x = np.frombuffer(blob, kind, count, at)
+            x = np.frombuffer(blob, KINDS[kinds[k]], count, at)
             at += x.nbytes
             return x
 
-        doc_id, row_key, chunk, counts = take(np.int64, d), take(np.int64, d), take(np.int32, d), take(np.uint32, d)
-        step = take(np.uint32 if wide else np.uint16, n).astype(np.int64)
+        ids = np.cumsum(take(0, d).astype(np.int64)) + first_id
+        tag, counts, step = take(1, d), take(2, d).astype(np.int64), take(3, n).astype(np.int64)
         doc = np.repeat(np.arange(d, dtype=np.int32), counts)
-        total = np.cumsum(step)
-        first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        before = np.zeros(d, np.int64)
+        pos = np.cumsum(step)
         if n:
-            before = total[np.minimum(first, n - 1)] - step[np.minimum(first, n - 1)]
-        pos = total - before[doc]
-        h = h2 = None
-        if hashes:
-            width = 8 if whole else 6
-            h = np.zeros((n, 8), np.uint8)
-            h[:, :width] = take(np.uint8, n * width).reshape(n, width)
-            h = h.view(np.uint64).reshape(n)
-            h2 = take(np.uint32, n) if whole else None
-        return Entries(doc_id, row_key, chunk, doc, pos, h, h2)
+            first = np.minimum(np.cumsum(counts) - counts, n - 1)
+            pos -= (pos[first] - step[first])[doc]
+        h = take(4, n).astype(U) if hashes else None
+        h2 = take(5, n) if whole else None
+        return Entries(ids, tag, doc, pos.astype(np.uint32), h, h2)
 
 
 def _deal(entries: Entries, buckets: int) -> Iterator[tuple[int, Entries]]:
@@ -150,11 +156,11 @@ def _probe_rows(buckets: int):
         held: list[Entries] = []
         size = 0
         for batch in batches:
-            ids, keys, chunks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for first, end, h, bounds in _word_hashes(batch.column(3)):
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for first, end, h, bounds in _word_hashes(batch.column(2)):
                 row, start = _rolling(bounds, BLOCK)
                 if len(row):
-                    held.append(Entries(ids[first:end], keys[first:end], chunks[first:end], row.astype(np.int32), start - bounds[row], _windows(h, start, BLOCK), None))
+                    held.append(Entries(ids[first:end], tags[first:end], row.astype(np.int32), (start - bounds[row]).astype(np.uint32), _windows(h, start, BLOCK), None))
                 size += len(h)
                 if size >= GATHER:
                     yield _packed(held, buckets)
@@ -190,11 +196,27 @@ def _chosen(ids: np.ndarray, least: np.ndarray, most: np.ndarray, block: np.ndar
     return ids > least if extend else (block > 0) & (least < most)
 
 
-def _replies(e: Entries, at: np.ndarray) -> list[tuple[int, bytes]]:
+def _chunk_of(doc_id: np.ndarray, chunks: int) -> np.ndarray:
+    """The chunk of a document, as _chunk_column has it."""
+    x = doc_id.astype(np.int64).view(U)
+    x = x ^ (x << U(13))
+    x = x ^ (x >> U(7))
+    x = x ^ (x << U(17))
+    return np.mod(x.view(np.int64), chunks).astype(np.int32)
+
+
+def _chunk_column(doc_id: Column, chunks: int) -> Column:
+    x = doc_id.bitwiseXOR(F.shiftleft(doc_id, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    x = x.bitwiseXOR(F.shiftleft(x, 17))
+    return F.pmod(x, F.lit(chunks).cast("long")).cast("int")
+
+
+def _replies(e: Entries, at: np.ndarray, chunks: int) -> list[tuple[int, bytes]]:
     if not len(at):
         return []
     at = np.sort(at)
-    chunk = e.chunk[e.doc[at]]
+    chunk = _chunk_of(e.doc_id, chunks)[e.doc[at]]
     order = np.argsort(chunk, kind="stable")
     kinds, first = np.unique(chunk[order], return_index=True)
     return [(int(k), e.pick(part).pack(hashes=False)) for k, part in zip(kinds.tolist(), np.split(at[order], first[1:]), strict=True)]
@@ -210,7 +232,7 @@ def _load(table: pa.Table) -> Entries:
     return Entries.concat([Entries.unpack(b) for b in table.column("blob").to_pylist()])
 
 
-def _matched(ws: Workspace, packed: DataFrame, sized: DataFrame, scale: int, extend: bool) -> DataFrame:
+def _matched(ws: Workspace, packed: DataFrame, sized: DataFrame, scale: int, chunks: int, extend: bool) -> DataFrame:
     """(chunk, blob): the entries chosen, sent back to their documents' chunks.
 
     sized holds the packed rows, or those of one document in `scale`, to tell the buckets' sizes.
@@ -221,7 +243,7 @@ def _matched(ws: Workspace, packed: DataFrame, sized: DataFrame, scale: int, ext
         order, _, least, most, block, sizes = _summary(e)
         r = lambda x: np.repeat(x, sizes)
         ok = _chosen(e.doc_id[e.doc[order]], r(least), r(most), r(block), extend)
-        return _reply_table(_replies(e, order[ok]))
+        return _reply_table(_replies(e, order[ok], chunks))
 
     parts = F.ceil(F.sum("n") * scale / BUCKET_LIMIT).cast("int").alias("parts")
     sizes = ws.save(sized.groupBy("bucket").agg(parts).where("parts > 1").withColumnRenamed("bucket", "b_"))
@@ -261,7 +283,7 @@ def _matched(ws: Workspace, packed: DataFrame, sized: DataFrame, scale: int, ext
         place[every[ours] - len(h)] = every[np.flatnonzero(ours) - 1]
         r = lambda x: np.repeat(x[place], sizes)
         ok = _chosen(e.doc_id[e.doc[order]], r(least), r(most), r(block), extend)
-        return _reply_table(_replies(e, order[ok]))
+        return _reply_table(_replies(e, order[ok], chunks))
 
     return joined.groupBy("bucket", "salt").cogroup(facts.groupBy("bucket", "salt")).applyInArrow(select, REPLY)
 
@@ -286,13 +308,13 @@ def _facts(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _places(table: pa.Table) -> dict[tuple[int, int], np.ndarray]:
-    """Positions sent back, by (doc_id, row_key)."""
+    """Positions sent back, by (doc_id, tag)."""
     out: dict[tuple[int, int], list[np.ndarray]] = {}
     for b in table.column("blob").to_pylist():
         e = Entries.unpack(b)
         cuts = np.flatnonzero(np.diff(e.doc)) + 1
         for part, k in zip(np.split(e.pos, cuts), e.doc[np.concatenate([[0], cuts])].tolist(), strict=True):
-            out.setdefault((int(e.doc_id[k]), int(e.row_key[k])), []).append(part)
+            out.setdefault((int(e.doc_id[k]), int(e.tag[k])), []).append(part)
     return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
 
 
@@ -304,10 +326,10 @@ def _extend_rows(buckets: int):
         if docs.num_rows and hits.num_rows:
             found = _places(hits)
             docs = docs.combine_chunks()
-            ids, keys, chunks = (docs.column(i).to_numpy() for i in range(3))
-            wanted = np.array([(int(i), int(k)) in found for i, k in zip(ids, keys, strict=True)])
-            ids, keys, chunks = ids[wanted], keys[wanted], chunks[wanted]
-            column = docs.column(3).filter(pa.array(wanted)).combine_chunks()
+            ids, tags = (docs.column(i).to_numpy() for i in range(2))
+            wanted = np.array([(int(i), int(k)) in found for i, k in zip(ids, tags, strict=True)])
+            ids, tags = ids[wanted], tags[wanted]
+            column = docs.column(2).filter(pa.array(wanted)).combine_chunks()
             column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
             for first, end, h, bounds in _word_hashes(column):
                 rows, starts = [], []
@@ -315,7 +337,7 @@ def _extend_rows(buckets: int):
                     n = int(bounds[i + 1] - bounds[i])
                     if n < WINDOW:
                         continue
-                    at = found[(int(ids[first + i]), int(keys[first + i]))]
+                    at = found[(int(ids[first + i]), int(tags[first + i]))].astype(np.int64)
                     depth = np.zeros(n + 2, np.int32)
                     np.add.at(depth, np.maximum(at - (WINDOW - BLOCK), 0), 1)
                     np.add.at(depth, at + 1, -1)
@@ -326,7 +348,7 @@ def _extend_rows(buckets: int):
                     row, start = np.concatenate(rows), np.concatenate(starts)
                     glob = start + bounds[row]
                     h2 = (_windows(h, glob, WINDOW, SECOND_BASE) >> U(32)).astype(np.uint32)
-                    held.append(Entries(ids[first:end], keys[first:end], chunks[first:end], row, start, _windows(h, glob, WINDOW), h2))
+                    held.append(Entries(ids[first:end], tags[first:end], row, start.astype(np.uint32), _windows(h, glob, WINDOW), h2))
         return pa.Table.from_batches([_packed(held, buckets)])
 
     return run
@@ -339,13 +361,14 @@ def _kept_rows(_, docs: pa.Table, gone: pa.Table) -> pa.Table:
     found = _places(gone) if gone.num_rows else {}
     out: list[tuple] = []
     if docs.num_rows:
-        for i, k, t in zip(*(docs.column(x).to_pylist() for x in ("doc_id", "row_key", "text")), strict=True):
+        for i, k, t in zip(*(docs.column(x).to_pylist() for x in ("doc_id", "tag", "text")), strict=True):
             w = (t or "").encode().split()
             at = found.get((i, k)) if i != NO_DOC else None
             spans: list[dict] = []
             n = len(w)
             if at is not None:
                 depth = np.zeros(n + 1, np.int32)
+                at = at.astype(np.int64)
                 np.add.at(depth, at, 1)
                 np.add.at(depth, at + WINDOW, -1)
                 cover = np.concatenate([[0], (np.cumsum(depth)[:n] > 0).astype(np.int8), [0]])
@@ -372,15 +395,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spread = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, chunks = max(buckets, spread), max(chunks, spread)
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))
-    keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
-    keyed = keyed.select("doc_id", "row_key", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(chunks)).cast("int").alias("chunk"), "text")
+    # The tag tells rows apart that share an id but not a text.
+    tag = F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
+    keyed = docs.select(doc_id.alias("doc_id"), tag.alias("tag"), text.alias("text"), _chunk_column(doc_id, chunks).alias("chunk"))
     known = keyed.where(F.col("doc_id") < NO_DOC)
     probes = known.mapInArrow(_probe_rows(buckets), PACKED)
-    looked_at = known.where(F.pmod(F.xxhash64("row_key", "doc_id"), F.lit(SIZED)) == 0).mapInArrow(_probe_rows(buckets), PACKED)
-    hits = ws.save(_matched(ws, probes, looked_at, SIZED, extend=False))
+    looked_at = known.where(F.pmod(F.xxhash64("tag", "doc_id"), F.lit(SIZED)) == 0).mapInArrow(_probe_rows(buckets), PACKED)
+    hits = ws.save(_matched(ws, probes, looked_at, SIZED, chunks, extend=False))
     ws.free()
     extended = ws.save(keyed.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extend_rows(buckets), PACKED))
-    gone = ws.save(_matched(ws, extended, extended, 1, extend=True))
+    gone = ws.save(_matched(ws, extended, extended, 1, chunks, extend=True))
     ws.drop(extended)
     ws.drop(hits)
     ws.free()
