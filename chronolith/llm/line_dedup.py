@@ -343,19 +343,23 @@ def removed_lines(ws: Workspace, docs: DataFrame, least: float = SIMILARITY) ->
     return gone.groupBy(F.col("doc_id").alias(IN_ID), F.col("row_key").alias(IN_KEY)).agg(F.collect_set("line_no").alias(GONE))
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces text by its remaining lines and the last column, the lines gone, by counts."""
-    for batch in batches:
-        t, g = batch.schema.get_field_index("text"), batch.num_columns - 1
-        texts, lines, removed = [], [], []
-        for text, gone in zip(batch.column(t).to_pylist(), batch.column(g).to_pylist(), strict=True):
-            split = [] if text is None else text.split("\n")
-            drop = set(gone or ())
-            texts.append(text if not drop else "\n".join(x for i, x in enumerate(split) if i not in drop))
-            lines.append(len(split))
-            removed.append(len(drop))
-        arrays = [pa.array(texts, pa.string()) if i == t else c for i, c in enumerate(batch.columns[:g])]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*batch.schema.names[:g], N_LINES, N_REMOVED])
+def _rebuilt(t: int):
+    """Replaces column t, the text, by its remaining lines, and the last one, the lines gone, by counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.num_columns - 1
+            texts, lines, removed = [], [], []
+            for text, gone in zip(batch.column(t).to_pylist(), batch.column(g).to_pylist(), strict=True):
+                split = [] if text is None else text.split("\n")
+                drop = set(gone or ())
+                texts.append(text if not drop else "\n".join(x for i, x in enumerate(split) if i not in drop))
+                lines.append(len(split))
+                removed.append(len(drop))
+            arrays = [pa.array(texts, pa.string()) if i == t else c for i, c in enumerate(batch.columns[:g])]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*batch.schema.names[:g], "lines", "removed"])
+
+    return run
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -365,8 +369,9 @@ def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     gone = ws.save(removed_lines(ws, docs, least))
     ws.free()
     out = _keyed(docs).join(gone, (F.col(ID) == F.col(IN_ID)) & (F.col(KEY) == F.col(IN_KEY)), "left").select(*quoted(names), GONE)
-    fields = [T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField(n, T.LongType()) for n in (N_LINES, N_REMOVED)]
-    return out.mapInArrow(_rebuilt, T.StructType(fields))
+    plain = out.toDF(*[f"c{i}" for i in range(len(names) + 1)])  # any name may pass through
+    fields = plain.schema.fields[:-1] + [T.StructField(n, T.LongType()) for n in ("lines", "removed")]
+    return plain.mapInArrow(_rebuilt(names.index("text")), T.StructType(fields)).toDF(*names, N_LINES, N_REMOVED)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,10 +181,13 @@ def passing(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     refs = references(docs)
 
+    t, lang = docs.columns.index("text"), docs.columns.index("lang")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = _columns(batch, "text", "lang")
-            keep = [judge(t, x, refs)[6] for t, x in zip(texts, langs, strict=True)]
-            yield batch.filter(pc.fill_null(pa.array(keep, pa.bool_()), False))
+            pairs = zip(batch.column(t).to_pylist(), batch.column(lang).to_pylist(), strict=True)
+            keep = [judge(x, y, refs)[6] for x, y in pairs]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any name may pass through
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
