@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from enum import Enum
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Outcome(Enum):
@@ -106,3 +107,25 @@ def one_regime(runs: DataFrame, regime: str = "regime") -> str:
     if len(found) != 1:
         raise ValueError(f"{len(found)} or more regimes: {found}")
     return found[0]
+
+
+def version_faults(versions: DataFrame) -> DataFrame:
+    """(fault, n): how many rows of a versions segment break each rule; no row for a rule that holds."""
+    twice = versions.groupBy("k", "seq").count().where("count > 1").select(F.lit("repeated version").alias("fault"))
+    rules = {
+        "null key": F.col("k").isNull(), "sequence below 1": F.coalesce(F.col("seq"), F.lit(0)) < 1, "unknown type": ~F.coalesce(F.col("vt").isin(0, 1), F.lit(False)),
+        "value without bytes": (F.col("vt") == 1) & F.col("v").isNull(), "deletion with bytes": (F.col("vt") == 0) & F.col("v").isNotNull(),
+    }
+    return _count_faults(versions, rules, twice)
+
+
+def range_faults(ranges: DataFrame) -> DataFrame:
+    """The same for a ranges segment."""
+    twice = ranges.groupBy("lo", "seq").count().where("count > 1").select(F.lit("repeated range").alias("fault"))
+    rules = {"null start": F.col("lo").isNull(), "sequence below 1": F.coalesce(F.col("seq"), F.lit(0)) < 1, "empty range": F.col("hi").isNotNull() & (F.col("hi") <= F.col("lo"))}
+    return _count_faults(ranges, rules, twice)
+
+
+def _count_faults(rows: DataFrame, rules: dict, more: DataFrame) -> DataFrame:
+    broken = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]), lambda x: x.isNotNull())
+    return rows.select(F.explode(broken).alias("fault")).unionByName(more).groupBy("fault").agg(F.count("*").alias("n"))

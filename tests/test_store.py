@@ -92,6 +92,11 @@ def test_cursor(spark, tmp_path):
     assert not c.seek_lt(b"k2") and c.seek_ge(b"") and c.key == b"k2"
     assert [k for k, _ in s.cursor().block(100, reverse=True)] == keys[::-1]
     assert s.cursor(b"k5", b"k2").block(3) == []
+    c = s.cursor()
+    assert [k for k, _ in c.fetch(10, 7)] == [b"k0", b"k1"] and [k for k, _ in c.fetch(1, 100)] == [b"k2"]
+    with pytest.raises(StoreError) as e:
+        c.fetch(1, 2)
+    assert e.value.status is Status.BUFFER_TOO_SMALL and c.key == b"k3" and s.pending_bytes() > 0
 
 
 def test_limits(spark, tmp_path):
@@ -156,6 +161,31 @@ def test_random_workload(spark, tmp_path):
     assert state(Store.open(spark, s.path)) == fold(batches)
 
 
+def test_artifact(spark, tmp_path, capsys):
+    from chronolith import __main__ as cli
+    from chronolith.plans import artifact
+
+    assert cli.differential(spark, str(tmp_path), 7, 25) == 0
+    text = capsys.readouterr().out
+    a = artifact.decode(text)
+    assert a["verdict"] == "pass" and fold(a["submission"], a["watermark"]) == a["recovered"]
+    body = json.loads(text)
+    assert artifact.faults("{") == ["not JSON"] and "no verdict" in artifact.faults(json.dumps({k: v for k, v in body.items() if k != "verdict"}))
+    for change in ({"watermark": 10**6}, {"verdict": "fine"}, {"submission": [{"kind": "S", "seq": 1, "v": "00"}]}, {"submission": [{"kind": "Q"}]}, {"provenance": {}}):
+        assert artifact.faults(json.dumps(body | change))
+    with pytest.raises(artifact.ArtifactFault):
+        artifact.decode(json.dumps(body | {"extra": 1}))
+    assert cli.amplification(spark, str(tmp_path / "amp"), 1, 100) == 0
+
+
+def test_segment_faults(spark):
+    v = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 1, "x"), (None, 0, 3, None), ("b", 2, 1, None), ("c", 3, 0, "y")], "k string, seq bigint, vt int, v string")
+    got = {r["fault"]: r["n"] for r in checks.version_faults(v).collect()}
+    assert got == {"repeated version": 1, "null key": 1, "sequence below 1": 1, "unknown type": 1, "value without bytes": 1, "deletion with bytes": 1}
+    r = spark.createDataFrame([("a", "b", 1), ("b", "a", 2), ("c", None, 3), ("c", "d", 3)], "lo string, hi string, seq bigint")
+    assert {x["fault"]: x["n"] for x in checks.range_faults(r).collect()} == {"empty range": 1, "repeated range": 1}
+
+
 def test_generator():
     r = Pcg64(42)
     assert [r.next() for _ in range(4)] == [6649627550597423648, 7300106876089141621, 2769834306095859105, 16257734974967078070]
