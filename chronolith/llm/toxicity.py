@@ -9,7 +9,7 @@ described by how many of its windows reach each of a few distances, and a logist
 calibrated on labelled documents that neither dictionary has seen, makes the score.
 
 Training reads labelled rows only where crc32(doc_id as text) mod 4 is not 2: remainders 0 and 3 for the
-dictionaries, 1 for calibration; at most SAMPLE rows of each label (toxic, ordinary) and part, in hash
+dictionaries, 1 for calibration; at most SAMPLE rows of each label (ordinary, toxic) and part, in hash
 order, none longer than MAX_TRAIN_CHARS, copies of one text counted once. Scoring reads every window of
 every whole text, and neither labels, language, source nor id.
 
@@ -29,16 +29,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 FOLDS, HELD_OUT, CALIBRATION, THRESHOLD = 4, 2, 1, 0.3
 #: Training rows of a label and part, ordinary first; their length at most; bytes of each dictionary; level.
-SAMPLE, MAX_TRAIN_CHARS, DICT_BYTES, LEVEL = (6000, 2000), 50_000, (1 << 17, 1 << 12), 6
+SAMPLE, MAX_TRAIN_CHARS, DICT_BYTES, LEVEL = (5000, 2000), 20_000, (1 << 17, 1 << 12), 6
 #: A toxic window is held by so many documents, and so many times as often as in ordinary ones.
 #: This goes for whole words and for their first HEAD bytes, the space included.
 LEAST_DOCS, LEAST_RATIO, HEAD = 3, 20, 5
 FRAME, TAIL = bytes(range(0x80, 0xA0)), bytes(range(0xE0, 0xF4))
 #: Distances, in bytes saved and as a share of the window, whose counts describe a document.
 STEPS, SHARES = (1, 2, 3, 4, 5), (0.2, 0.3, 0.4, 0.5, 0.6)
-CACHE = 300_000
+CACHE, SPREAD = 300_000, 1 << 40
 MARKS = b".,;:!?"
 
 
@@ -57,11 +59,11 @@ def windows(text: str | None) -> list[bytes]:
 
 def uncopied(texts: list[str]) -> list[str]:
     """The texts without those of which over half the word pairs stand in earlier ones."""
-    seen: set[tuple] = set()
+    seen: set[int] = set()
     out = []
     for t in texts:
         w = windows(t)
-        pairs = set(zip(w, w[1:], strict=False)) or {tuple(w)}
+        pairs = set(map(hash, zip(w, w[1:], strict=False))) or {hash(tuple(w))}
         if 2 * len(pairs - seen) >= len(pairs):
             out.append(t)
         seen |= pairs
@@ -160,16 +162,32 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[int, int, str]]:
-    """(fold, toxic, text) of the bounded training sample."""
-    known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.max("toxic").alias("toxic"))
+    """(fold, toxic, text) of the bounded training sample.
+
+    Rows are chosen by id and hash alone, at most the sum of SAMPLE twice over; only theirs are then read
+    as text, by a join with that small list.
+    """
+    spark = docs.sparkSession
+    known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text").where(fold_of(F.col("doc_id")) != HELD_OUT).where((F.length("text") > 0) & (F.length("text") <= MAX_TRAIN_CHARS))
-    rows = rows.join(known, F.col("doc_id") == F.col("id_")).select(fold_of(F.col("doc_id")).cast("int").alias("fold"), "toxic", "text", F.xxhash64("doc_id", "text").alias("h"))
-    out: list[tuple[int, int, str]] = []
-    for toxic in (0, 1):
-        for own in (F.col("fold") == CALIBRATION, F.col("fold") != CALIBRATION):
-            picked = rows.where(own & (F.col("toxic") == toxic)).orderBy("h", "text").limit(SAMPLE[toxic])
-            out += [(r["fold"], toxic, r["text"]) for r in picked.collect()]
-    return out
+    hashed = F.xxhash64("doc_id", "text")
+    light = rows.select("doc_id", (fold_of(F.col("doc_id")) == CALIBRATION).alias("own"), hashed.alias("h")).join(known, F.col("doc_id") == F.col("id_"))
+    light = Workspace(spark).save(light.select("doc_id", "own", "toxic", "h", F.pmod("h", F.lit(SPREAD)).alias("at")))
+    # A hash limit for each part lets through about twice its sample; the lowest hashes of these are taken.
+    wanted = F.lit(False)
+    for r in light.groupBy("toxic", "own").agg(F.count("*").alias("n")).collect():
+        limit = min(SPREAD, SPREAD * 2 * SAMPLE[r["toxic"] == 1] // r["n"] + SPREAD // r["n"] + 1)
+        wanted = wanted | ((F.col("toxic") == r["toxic"]) & (F.col("own") == r["own"]) & (F.col("at") < limit))
+    parts: dict[tuple, list] = {}
+    for r in light.where(wanted).collect():
+        parts.setdefault((r["toxic"], r["own"]), []).append((r["at"], r["doc_id"], r["h"]))
+    picked = [(i, h, t, place) for (t, _), rows_ in parts.items() for place, (_, i, h) in enumerate(sorted(rows_)[: SAMPLE[t == 1]])]
+    if not picked:
+        return []
+    few = spark.createDataFrame(picked, "id_ bigint, h_ bigint, toxic int, place int")
+    texts = rows.join(F.broadcast(few), (F.col("doc_id") == F.col("id_")) & (hashed == F.col("h_"))).select(fold_of(F.col("doc_id")).cast("int").alias("fold"), "toxic", "place", "text")
+    got = sorted((r["toxic"], r["place"], r["fold"], r["text"]) for r in texts.collect())
+    return [(fold, toxic, text) for toxic, _, fold, text in got]
 
 
 def fit(rows: list[tuple[int, int, str]]) -> tuple[bytes, bytes, np.ndarray] | None:
