@@ -3,7 +3,9 @@
 The mix is a list of equal-token slots. Slot k takes the golden-ratio point frac(k * phi), which falls
 into one source's stretch of the cumulative targets; the slots of a source are ranked in slot order and
 the slot of rank r takes block r of the source's shuffled word stream, read round and round. Points of
-this kind spread evenly, so every stretch of the mix holds each source near its share.
+this kind spread evenly, so every stretch of the mix holds each source near its share. Where slots hold
+several words, a source's last slot is cut at its target, and a source with too few slots for its target
+has more, spread evenly over the mix, each beside the slot of the same number.
 
 Defined cases: a null text has size 0; documents of size 0 are taken 0 times; null sources form one
 source, ordered last; an empty table gives an empty result; rows that repeat an id are separate rows of
@@ -92,21 +94,29 @@ def mix(ws: Workspace, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, r
 
     docs has key columns and `source`, `size`, `okey` (the shuffle order, a hex string) and `tie` columns.
     Returns (rows with source_size, target, taken, start), the ranked schedule, and blocks: the rows'
-    first blocks, to be joined with the schedule on (source, rank).
+    first blocks, to be joined with the schedule on (source, rank). A slot's `words` are those it takes;
+    their sum over a source is its quota.
     """
     stats = docs.agg(F.count("*").alias("n"), F.sum("size").alias("total")).first()
     n, total = stats["n"], int(stats["total"] or 0)
     targets = ws.save(source_targets(docs, weights, share, repeats))
     block = max(1, -(-int(share * total) // MAX_SLOTS))
     slots = -(-int(share * total) // block)
-    ranked = schedule(ws, targets, slots)
-    got = ranked.groupBy("lo").agg(F.count("*").alias("slots"))
-    t = (
-        targets.join(got.withColumnRenamed("lo", "lo_"), (F.col("lo") == F.col("lo_")) & (F.col("hi") > F.col("lo")), "left")
-        .withColumn("quota", F.least(F.coalesce("slots", F.lit(0)) * block, repeats * F.col("source_size")))
-        .select(F.col("source").alias("s_"), "source_size", "target", "quota")
-    )
-    t = ws.save(t)
+    ranked = ws.save(schedule(ws, targets, slots))
+    got = ranked.groupBy(F.col("source").alias("s_")).agg(F.count("*").alias("slots"))
+    # Slots of one word tell a quota to a few words; longer ones are cut at the target, and what they lack is added.
+    due = F.col("slots") if block == 1 else F.round("target").cast("long")
+    t = targets.join(got, F.col("source").eqNullSafe(F.col("s_")), "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    t = t.withColumn("due", F.least(due, repeats * F.col("source_size")))
+    t = ws.save(t.select(F.col("source").alias("s_"), F.col("lo").alias("lo_"), "source_size", "target", "slots", "due", F.ceil(F.col("due") / block).alias("need")))
+    kept = ranked.join(t, F.col("source").eqNullSafe(F.col("s_"))).where("rank < need").select("slot", "source", "lo", "rank", "due")
+    more = t.where("need > slots").withColumn("rank", F.explode(F.sequence("slots", F.col("need") - 1)))
+    place = F.floor((F.col("rank") + 0.5) * slots / F.col("need"))
+    more = more.select(place.alias("slot"), F.col("s_").alias("source"), F.col("lo_").alias("lo"), "rank", "due")
+    ranked = kept.unionByName(more).withColumn("words", F.least(F.lit(block), F.col("due") - F.col("rank") * block)).drop("due")
+    quota = ranked.groupBy(F.col("source").alias("q_")).agg(F.sum("words").alias("quota"))
+    t = t.join(quota, F.col("s_").eqNullSafe(F.col("q_")), "left")
+    t = ws.save(t.select("s_", "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota")))
     # The word position of each document in its source's shuffled stream: sums of runs, then within a run.
     digits = min(8, max(1, math.ceil(math.log(max(2, n / 500), 16))))
     rows = docs.withColumn("run", F.substring("okey", 1, digits))

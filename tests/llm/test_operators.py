@@ -133,6 +133,19 @@ def test_mix_places_and_documents(spark, docs):
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
+def test_mixing_long_slots(spark, monkeypatch):
+    """Small sources come to their targets, and into the schedule, also where a slot holds many words."""
+    monkeypatch.setattr(mixing, "MAX_SLOTS", 64)
+    rows = [(i, "w " * 500, "en", "big", 0) for i in range(60)]
+    rows += [(100 + 10 * s + j, "v " * (7 + 5 * s), "en", None if s == 3 else f"small{s}", 0) for s in range(8) for j in range(4)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = check_mix(spark, df)
+    assert out == check_mix(spark, df.repartition(3))
+    taken = {d for d, _, _, _, n in out if n > 0}
+    assert {r["source"] for r in df.collect() if r["doc_id"] in taken} == {r[3] for r in rows}
+    assert {r["doc_id"] for r in mixing.placed(df).collect()} == taken
+
+
 # 4. Line dedup
 
 
