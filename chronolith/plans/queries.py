@@ -168,6 +168,12 @@ def kv_version_history(spark, sf_dir):
     return h.withColumn("vt", F.col("vt").cast("int")).withColumn("age", F.col("age").cast("bigint"))
 
 
+@query(" select k, seq, vt, v, row_number() over (partition by k order by seq desc) - 1 as age from v")
+def kv_version_history_all(spark, sf_dir):
+    h = resolve.history(_log(spark, sf_dir)[0])
+    return h.withColumn("vt", F.col("vt").cast("int")).withColumn("age", F.col("age").cast("bigint"))
+
+
 @query(f",{view_sql('a', MID)},{view_sql('b')} select coalesce(a.k, b.k) as k, case when a.k is null then 'added' when b.k is null then 'removed' else 'changed' end as change, a.v as old_v, b.v as new_v from a full join b on a.k = b.k where a.v is distinct from b.v")
 def kv_diff_two_snapshots(spark, sf_dir):
     versions, ranges = _log(spark, sf_dir)

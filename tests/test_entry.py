@@ -37,6 +37,14 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, want.fetchall())
 
 
+def test_whole_history(spark):
+    """The history without bounds has every version of every key."""
+    want = QUERIES["kv_batch_normalised"](spark, SF)
+    got = QUERIES["kv_version_history_all"](spark, SF)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert got.where("age = 0").count() == want.select("k").distinct().count() > QUERIES["kv_version_history"](spark, SF).where("age = 0").count()
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
