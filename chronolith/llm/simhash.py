@@ -205,13 +205,13 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def class_table(ws: Workspace, fps: DataFrame) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint."""
+    """(fp, root, component_id) for every distinct fingerprint; the root tells components apart where no id is known."""
     distinct = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(ws, near_links(ws, distinct.select("fp")))
     member = distinct.join(roots, F.col("fp") == F.col("x"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     member = ws.save(member)
     least = ws.save(member.groupBy("root").agg(F.min("least").alias("component_id")))
-    return ws.save(member.join(least, "root").select("fp", "component_id"))
+    return ws.save(member.join(least, "root").select("fp", "root", "component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -230,7 +230,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     fps = ws.save(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint, row_key bigint"))
     found = class_table(ws, fps)
-    best = fps.join(found, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
+    best = fps.join(found, "fp").groupBy("root").agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "row_key"))).alias("best")
     )
     key, in_id, in_key = own("key"), own("in_id"), own("in_key")

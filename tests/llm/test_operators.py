@@ -301,6 +301,17 @@ def test_simhash(spark, docs, texts):
     assert simhash.classes(empty(spark)).count() == 0
 
 
+def test_one_of_each_without_ids(spark):
+    """Near copies of which no id is known are one component, of which one document stays."""
+    words = [f"w{i * 7919 % 1000}" for i in range(600)]
+    base = " ".join(words)
+    edits = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(0, 600, 40)]
+    near = next(t for t in edits if 0 < bin(brute_print(base) ^ brute_print(t)).count("1") <= 4)
+    rows = [(None, base, "en", "a", 1), (None, near, "en", "a", 1), (None, "far away from all of them", "en", "a", 1)]
+    got = [r["text"] for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()]
+    assert len(got) == 2 and rows[2][1] in got
+
+
 @pytest.mark.parametrize("block, one_link", [(2048, 1 << 25), (3, 1 << 25), (2048, 0), (3, 0)])
 def test_pigeonring_links(spark, block, one_link):
     """Every way of dealing out the buckets finds the same components as all pairs."""
