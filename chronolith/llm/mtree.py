@@ -11,8 +11,8 @@ exact integers, and ties go to the smaller id, so results are exact. Queries go
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows whose vec_id is null,
 take no part; vectors of unequal length compare on their common components; rows that repeat an id are
-separate candidates and queries, and a query's own row is every row of its id; fewer than k candidates give
-fewer ranks; an empty table gives an empty result; other columns are ignored.
+separate candidates and queries, each of these with its own k ranks under the same query_id, and a query's own
+row is every row of its id; fewer than k candidates give fewer ranks; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def top_k(vectors: DataFrame, k: int = TOP, query_step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of every row whose id query_step divides."""
     ws = Workspace(vectors.sparkSession)
-    rows = ws.save(quantised(vectors))
+    rows = ws.save(quantised(vectors).withColumn("query_row", F.monotonically_increasing_id()))
     norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
     is_query = F.col("vec_id") % query_step == 0
     facts = rows.agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("q"), F.max(norm).alias("m2"), F.max(F.size("v")).alias("width")).first()
@@ -171,23 +171,23 @@ def top_k(vectors: DataFrame, k: int = TOP, query_step: int = QUERY_STEP) -> Dat
     m2, width = float(facts["m2"] or 0.0), int(facts["width"] or 0)
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.withColumn("slice", deal(slices)).withColumn("block", every(blocks))
+    data = rows.drop("query_row").withColumn("slice", deal(slices)).withColumn("block", every(blocks))
     asked = rows.where(is_query).withColumn("block", deal(blocks)).withColumn("slice", every(slices))
 
     def run(key, held: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         if held.num_rows and queries.num_rows:
             tree = MTree(held.column("vec_id").to_numpy(), _matrix(held.column("v"), width), m2)
             q = _matrix(queries.column("v"), width)
-            for i, qid in enumerate(queries.column("vec_id").to_pylist()):
-                out += [(qid, vid, s) for s, vid in tree.search(qid, q[i], k)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+            for i, (row, qid) in enumerate(zip(queries.column("query_row").to_pylist(), queries.column("vec_id").to_pylist(), strict=True)):
+                out += [(row, qid, vid, s) for s, vid in tree.search(qid, q[i], k)]
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_row", "query_id", "vec_id", "score"])
 
     found = (
-        data.groupBy("slice", "block").cogroup(asked.groupBy("slice", "block")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        data.groupBy("slice", "block").cogroup(asked.groupBy("slice", "block")).applyInArrow(run, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
     )
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

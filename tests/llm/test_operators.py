@@ -212,6 +212,13 @@ def test_top_k(spark, monkeypatch):
     assert mtree.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_top_k_repeated_ids(spark):
+    """Each row of a repeated id has its own ranks."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0])] + [(i, [i / 8, 2 - i / 8]) for i in range(1, 9)]
+    got = sorted((r["rank"], r["vec_id"]) for r in mtree.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect())
+    assert got == sorted(2 * [(k + 1, 8 - k) for k in range(5)] + [(k + 1, 1 + k) for k in range(5)])
+
+
 # 6. Secret scans
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
