@@ -33,6 +33,8 @@ BLOCKS = frozenset(
 )
 #: Their content is never text of the page.
 SKIPPED = frozenset("script style noscript template iframe textarea title svg object canvas math xmp noembed noframes audio video".split())
+#: Of these, the ones that hold markup: without an end tag of their own, only their start tag is skipped.
+MARKUP = frozenset("template svg object canvas math audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes these open elements, as far up as the nearest one of the bounds.
 CLOSES = {
@@ -85,13 +87,42 @@ def _marks(attrs: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def _lowered(source: str) -> str:
+    low = source.lower()
+    if len(low) != len(source):  # rare letters change their length in lower case
+        low = re.sub(r"</[A-Za-z]+", lambda x: x[0].lower(), source)
+    return low
+
+
+def _ends(source: str, low: str) -> dict[int, int]:
+    """Where each element of MARKUP that has an end tag starts, and where that end tag does."""
+    out: dict[int, int] = {}
+    starts: dict[str, list[int]] = {}
+    at = 0
+    while m := TOKEN.search(source, at):
+        at = m.end()
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if tag not in SKIPPED:
+            continue
+        if m["end"] or m["end2"]:
+            if starts.get(tag):
+                out[starts[tag].pop()] = m.start()
+        elif tag not in MARKUP:
+            if not (m["attrs"] or "").rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
+                k = low.find(f"</{tag}", at)
+                at = len(source) if k < 0 else k
+        elif not (m["attrs"] or "").rstrip().endswith("/"):
+            starts.setdefault(tag, []).append(m.start())
+    return out
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]
     pieces: list[str] = []
     linked = 0
     depth_a = 0
-    at, end, low = 0, len(source), None
+    at, end, low, ends = 0, len(source), None, None
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -138,12 +169,15 @@ def parse(source: str) -> Page:
         attrs = m["attrs"] or ""
         if tag in SKIPPED:
             if low is None:
-                low = source.lower()
-                if len(low) != end:  # rare letters change their length in lower case
-                    low = re.sub(r"</[A-Za-z]+", lambda x: x[0].lower(), source)
+                low = _lowered(source)
             if not attrs.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                k = low.find(f"</{tag}", at)
-                at = end if k < 0 else k
+                if tag in MARKUP:
+                    if ends is None:
+                        ends = _ends(source, low)
+                    at = ends.get(m.start(), at)
+                else:
+                    k = low.find(f"</{tag}", at)
+                    at = end if k < 0 else k
             add(" ")
             continue
         if tag == "a":

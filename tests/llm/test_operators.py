@@ -62,6 +62,15 @@ def test_html(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_html_unclosed():
+    """An element that holds markup, but has no end tag, takes no text with it; one that has takes its own."""
+    model = html_extract.train(html_extract.labelled_pages())
+    for tag in ("svg", "object", "canvas", "audio", "video", "math", "template"):
+        for media in (f"<{tag} class=x>", f"<{tag}><{tag}>in</{tag}>", f"<script>'</{tag}>'</script><{tag}><script>'</{tag}>'</script>"):
+            body = f"<article><h1>Title</h1><p>One.</p>{media}<p>Two.</p><{tag}>in<{tag}>in</{tag}>in</{tag}><p>Three.</p></article>"
+            assert html_extract.main_text(page(body), model) == "Title\nOne.\nTwo.\nThree.", media
+
+
 def test_html_held_out():
     """On generated pages that training did not see, blocks are told apart."""
     model = html_extract.train(html_extract.labelled_pages())
