@@ -1,15 +1,21 @@
 """Mixing sources to target weights by a low-discrepancy schedule (DataFrame functions only).
 
-The mix is a list of equal-token slots. Slot k takes the golden-ratio point frac(k * phi), which falls
-into one source's stretch of the cumulative targets; the slots of a source are ranked in slot order and
-the slot of rank r takes block r of the source's shuffled word stream, read round and round. Points of
-this kind spread evenly, so every stretch of the mix holds each source near its share. Where slots hold
-several words, a source's last slot is cut at its target, and a source with too few slots for its target
-has more, spread evenly over the mix, each beside the slot of the same number.
-
-Defined cases: a null text has size 0; documents of size 0 are taken 0 times; null sources form one
-source, ordered last; an empty table gives an empty result; rows that repeat an id are separate rows of
-the shuffled stream, ordered by (md5 of the id, id, size, md5 of the text). Input columns keep their names.
+The mix is a list of N slots. Slot k takes the golden-ratio point k * g mod N, where g is the whole number
+nearest N divided by the golden ratio that shares no factor with N. The sources' cumulative needs, in blocks,
+cut [0, N) into stretches, and the slot goes to the source whose stretch holds its point. As k runs through
+0..N-1 the points are a permutation of 0..N-1, so each source has exactly as many slots as it needs blocks,
+however small it is, and every stretch of the mix holds each source near its share.
+
+A source's documents are shuffled (in the order of a hash) into one stream of words, read round and round, and
+cut into blocks of equal length; the last block ends at the source's target. The slots of a source are ranked
+in slot order, and the slot of rank r is joined with block r. A document is taken for the words of it that lie
+in joined blocks. Blocks grow only where more than MAX_SLOTS would be needed, which changes the grain of the
+schedule but no amount, as the last block of every source is cut at its target.
+
+Defined cases: a null text has size 0; documents of size 0 are taken 0 times; null sources form one source,
+ordered last; an empty table gives an empty result; the shuffle orders rows by the md5 of id and text, so null
+ids spread like others, and rows alike in id, source and text are separate rows of the stream, side by side.
+Input columns keep their names.
 """
 
 from __future__ import annotations
@@ -19,152 +25,175 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, own, quoted
+from .common import Workspace, before_each, own, placed_in_order, quoted
 from .textkit import WORD_RE
 
 #: Weights of the sources in order, repeating; the mix's share of all words; the cap on repeats.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-#: 2**32 / golden ratio, odd: k * GOLDEN mod 2**32 is the k-th golden-ratio point.
-GOLDEN, SCALE, MAX_SLOTS, CELLS = 2654435769, 1 << 32, 1 << 20, 4096
+#: Words of a block, and the number of slots from which blocks grow instead (its square fits a long).
+BLOCK, MAX_SLOTS = 1024, 1 << 30
+#: Slots ranked, points listed, or copies of a row made in one go; documents in a run of the shuffle by design.
+RUN, DOCS_A_RUN = 4096, 500
 
 
 def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_RE)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """(source, source_size, target, lo, hi): targets by water-filling, and their stretch of [0, 2**32).
+def source_targets(ws: Workspace, sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """(source, s, part, source_size, target, due): the sources' numbers and targets, and the words to take.
 
-    Windows run over one row per source, never over documents.
+    Each round fixes the sources whose share goes beyond `repeats` times their size, and shares the rest anew
+    among the others; only sums reach the driver.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("w", w.cast("long"))
-    every = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    per = (
-        per.withColumn("all_size", F.sum("source_size").over(every))
-        .withColumn("all_w", F.sum("w").over(every))
-        .withColumn("rest", F.lit(share) * F.col("all_size") - repeats * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("rest_w", F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0)))
-        .withColumn("capped", F.col("rest") * F.col("w") > F.lit(repeats) * F.col("source_size") * F.col("rest_w"))
-    )
-    # Once a source stays under its cap, so do all that follow it in this order.
-    per = per.withColumn("capped", F.min("capped").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)))
-    free = F.sum(F.when(~F.col("capped"), F.col("w")).otherwise(0)).over(every)
-    left = F.lit(share) * F.col("all_size") - repeats * F.sum(F.when(F.col("capped"), F.col("source_size")).otherwise(0)).over(every)
-    target = F.when(F.col("capped"), (F.lit(repeats) * F.col("source_size")).cast("double")).otherwise(left * F.col("w") / free)
-    per = per.withColumn("target", target)
-    upto = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    hi = F.when(total > 0, F.round(upto / total * SCALE)).otherwise(0).cast("long")
-    return per.withColumn("hi", hi).withColumn("lo", F.lag("hi", 1, 0).over(order)).select("source", "source_size", "target", "lo", "hi")
-
-
-def schedule(ws: Workspace, targets: DataFrame, slots: int) -> DataFrame:
-    """(slot, source, lo, rank): slots mapped through the cumulative targets, ranked within their source.
-
-    Points meet stretches by an equi-join on grid cells; ranks are a prefix sum over runs of 4,096 slots,
-    so no source's slots come together in one task.
+    per = ws.save(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    per = placed_in_order(ws, per, [F.col("source").asc_nulls_last()], "s", "part")
+    weight = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("s") % len(weights) + 1).cast("int"))
+    per = ws.save(per.withColumn("w", weight.cast("long")))
+    size, w = F.col("source_size"), F.col("w")
+    facts = per.agg(F.sum(size).alias("size"), F.sum(w).alias("w")).first()
+    all_size, all_w = facts["size"] or 0, facts["w"] or 1
+    rest, free, n = share * all_size, all_w, 0
+    while True:
+        capped = F.lit(float(rest)) * w > (repeats * size).cast("double") * free
+        got = per.where(capped).agg(F.count("*").alias("n"), F.sum(size).alias("size"), F.sum(w).alias("w")).first()
+        if got["n"] == n:
+            break
+        rest, free, n = share * all_size - repeats * got["size"], all_w - got["w"], got["n"]
+    target = F.when(capped, (repeats * size).cast("double")).otherwise(F.lit(float(rest)) * w / free)
+    due = F.least(F.round("target").cast("long"), repeats * size)
+    return per.withColumn("target", target).select("source", "s", "part", "source_size", "target", due.alias("due"))
+
+
+def stretches(targets: DataFrame, block: int) -> DataFrame:
+    """targets with need, the blocks of each source, and lo, where its stretch of [0, N) starts."""
+    t = targets.withColumn("need", F.expr(f"(due + {block - 1}) div {block}"))
+    parts = before_each(t.groupBy("part").agg(F.sum("need").alias("n")), [], "part", "n", "base").drop("n")
+    t = before_each(t, ["part"], "s", "need", "lo").join(F.broadcast(parts), "part")
+    return t.withColumn("lo", F.col("lo") + F.col("base")).drop("base", "part")
+
+
+def golden_step(n: int) -> int:
+    """The number nearest n / golden ratio that shares no factor with n: k -> k * step mod n is a permutation."""
+    step = max(1, round(n * (math.sqrt(5) - 1) / 2))
+    while math.gcd(step, n) != 1:
+        step += 1
+    return step
+
+
+def listed(rows: DataFrame, n: str, run: str, item: str) -> DataFrame:
+    """Each row as often as its column n says, with `item` counting from 0, by way of runs of bounded length."""
+    rows = rows.where(F.col(n) > 0).withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {RUN}"))))
+    rows = rows.repartition(run, *[c for c in rows.columns if c in ("s", "okey")])
+    upto = F.least(F.col(n), (F.col(run) + 1) * RUN) - 1
+    return rows.withColumn(item, F.explode(F.sequence(F.col(run) * RUN, upto))).drop(run)
+
+
+def schedule(ws: Workspace, cut: DataFrame, n: int) -> DataFrame:
+    """(slot, s, rank): the n slots with their sources, ranked within these.
+
+    A source's slots are found from the points of its stretch by the inverse of k -> k * g mod n. Ranks are sums
+    over runs of slots, then places within a run, so no source's slots come together in one task.
     """
-    spark, width = ws.spark, SCALE // CELLS
-    cells = targets.where("hi > lo").select(
-        "source", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))).alias("cell")
-    )
-    points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % SCALE).alias("point"))
-    points = points.withColumn("cell", F.expr(f"point div {width}"))
-    hit = ws.save(
-        points.join(cells, "cell").where("point >= lo and point < hi").select("slot", "source", "lo", F.expr("slot div 4096").alias("run"))
-    )
-    runs = hit.groupBy("lo", "run").agg(F.count("*").alias("n"))
-    back = Window.partitionBy("lo").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col("lo").alias("lo_"), F.col("run").alias("run_"), F.coalesce(F.sum("n").over(back), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("lo", "run").orderBy("slot")) - 1
-    return (
-        hit.withColumn("inside", inside)
-        .join(runs, (F.col("lo") == F.col("lo_")) & (F.col("run") == F.col("run_")))
-        .select("slot", "source", "lo", (F.col("base") + F.col("inside")).alias("rank"))
-    )
-
-
-def mix(ws: Workspace, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with their amounts, schedule, block length as a one-row frame's value in its columns).
-
-    docs has key columns and `source`, `size`, `okey` (the shuffle order, a hex string) and `tie` columns.
-    Returns (rows with source_size, target, taken, start), the ranked schedule, and blocks: the rows'
-    first blocks, to be joined with the schedule on (source, rank). A slot's `words` are those it takes;
-    their sum over a source is its quota.
+    if not n:
+        return ws.spark.createDataFrame([], "slot bigint, s bigint, rank bigint")
+    back = pow(golden_step(n), -1, n) if n > 1 else 0
+    points = listed(cut.select("s", "lo", "need"), "need", "run", "i")
+    slots = points.select("s", ((F.col("lo") + F.col("i")) * back % n).alias("slot"))
+    slots = ws.save(slots.withColumn("run", F.expr(f"slot div {RUN}")))
+    runs = before_each(slots.groupBy("s", "run").agg(F.count("*").alias("n")), ["s"], "run", "n", "base").drop("n")
+    inside = F.row_number().over(Window.partitionBy("s", "run").orderBy("slot")) - 1
+    return slots.withColumn("inside", inside).join(runs, ["s", "run"]).select("slot", "s", (F.col("base") + F.col("inside")).alias("rank"))
+
+
+def streams(ws: Workspace, rows: DataFrame, targets: DataFrame, n: int) -> DataFrame:
+    """The documents with their source's facts and `start`, their first word's place in its shuffled stream.
+
+    rows alike in all columns come as one with their number, and are told apart afterwards by `copy`. Starts
+    are sums of super-runs, of runs within these, and of documents within a run, all split by hash.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.sum("size").alias("total")).first()
-    n, total = stats["n"], int(stats["total"] or 0)
-    targets = ws.save(source_targets(docs, weights, share, repeats))
-    block = max(1, -(-int(share * total) // MAX_SLOTS))
-    slots = -(-int(share * total) // block)
-    ranked = ws.save(schedule(ws, targets, slots))
-    got = ranked.groupBy(F.col("source").alias("s_")).agg(F.count("*").alias("slots"))
-    # Slots of one word tell a quota to a few words; longer ones are cut at the target, and what they lack is added.
-    due = F.col("slots") if block == 1 else F.round("target").cast("long")
-    t = targets.join(got, F.col("source").eqNullSafe(F.col("s_")), "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
-    t = t.withColumn("due", F.least(due, repeats * F.col("source_size")))
-    t = ws.save(t.select(F.col("source").alias("s_"), F.col("lo").alias("lo_"), "source_size", "target", "slots", "due", F.ceil(F.col("due") / block).alias("need")))
-    kept = ranked.join(t, F.col("source").eqNullSafe(F.col("s_"))).where("rank < need").select("slot", "source", "lo", "rank", "due")
-    more = t.where("need > slots").withColumn("rank", F.explode(F.sequence("slots", F.col("need") - 1)))
-    place = F.floor((F.col("rank") + 0.5) * slots / F.col("need"))
-    more = more.select(place.alias("slot"), F.col("s_").alias("source"), F.col("lo_").alias("lo"), "rank", "due")
-    ranked = kept.unionByName(more).withColumn("words", F.least(F.lit(block), F.col("due") - F.col("rank") * block)).drop("due")
-    quota = ranked.groupBy(F.col("source").alias("q_")).agg(F.sum("words").alias("quota"))
-    t = t.join(quota, F.col("s_").eqNullSafe(F.col("q_")), "left")
-    t = ws.save(t.select("s_", "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota")))
-    # The word position of each document in its source's shuffled stream: sums of runs, then within a run.
-    digits = min(8, max(1, math.ceil(math.log(max(2, n / 500), 16))))
-    rows = docs.withColumn("run", F.substring("okey", 1, digits))
-    sums = rows.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
-    back = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ws.save(sums.select(F.col("source").alias("rs_"), F.col("run").alias("run_"), F.coalesce(F.sum("run_size").over(back), F.lit(0)).alias("base")))
-    in_run = Window.partitionBy("source", "run").orderBy("okey", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ws.save(rows.withColumn("inside", F.coalesce(F.sum("size").over(in_run), F.lit(0))))
-    rows = rows.join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("rs_")) & (F.col("run") == F.col("run_")))
-    rows = rows.withColumn("start", F.col("base") + F.col("inside")).drop("rs_", "run_", "run", "base", "inside")
-    rows = rows.join(t, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    full = F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0)
-    part = F.when(F.col("source_size") > 0, F.col("quota") % F.col("source_size")).otherwise(0)
-    more = F.least(F.greatest(part - F.col("start"), F.lit(0)), F.col("size"))
-    rows = rows.withColumn("taken", (full * F.col("size") + more).cast("long"))
-    blocks = rows.where("taken > 0").select("doc_id", "source", F.floor(F.col("start") / block).cast("long").alias("rank"))
-    return rows, ranked, blocks
+    digits = min(12, max(1, math.ceil(math.log(max(2, n / DOCS_A_RUN), 16))))
+    rows = rows.withColumn("run", F.substring("okey", 1, digits))
+    items = ws.save(rows.groupBy("source", "run", "okey", "doc_id", "size", "tie").agg(F.count("*").alias("alike")))
+    items = items.withColumn("words", F.col("size") * F.col("alike"))
+    runs = items.groupBy("source", "run").agg(F.sum("words").alias("n")).withColumn("top", F.substring("run", 1, digits // 2))
+    runs = before_each(runs, ["source", "top"], "run", "n", "base")
+    tops = before_each(runs.groupBy("source", "top").agg(F.sum("n").alias("top_n")), ["source"], "top", "top_n", "top_base")
+    tops = tops.select(F.col("source").alias("s_"), F.col("top").alias("t_"), "top_base")
+    runs = runs.join(tops, F.col("source").eqNullSafe(F.col("s_")) & (F.col("top") == F.col("t_")))
+    runs = runs.select(F.col("source").alias("rs_"), F.col("run").alias("run_"), (F.col("base") + F.col("top_base")).alias("base"))
+    facts = targets.select("source", "s", "source_size", "target", "due")
+    runs = ws.save(runs.join(facts, F.col("rs_").eqNullSafe(F.col("source"))).drop("source"))
+    placed = before_each(items, ["source", "run"], "okey", "words", "inside")
+    placed = placed.join(runs, F.col("source").eqNullSafe(F.col("rs_")) & (F.col("run") == F.col("run_"))).drop("rs_", "run_", "run")
+    if items.where("alike > 1").isEmpty():
+        placed = placed.withColumn("copy", F.lit(0).cast("long"))
+    else:
+        placed = listed(placed, "alike", "some", "copy")
+    return ws.save(placed.withColumn("start", F.col("base") + F.col("inside") + F.col("copy") * F.col("size")).drop("base", "inside", "alike", "words"))
+
+
+DOC = ("doc_id", "source", "okey", "tie", "copy", "size", "source_size", "target")
+
+
+def pieces(placed: DataFrame, block: int, repeats: int) -> DataFrame:
+    """The parts of documents in blocks of their source, for every time round: DOC, s, rank and words."""
+
+    def parts(a: Column, b: Column) -> Column:
+        ranks = F.sequence(F.floor(a / block), F.floor((b - 1) / block))
+        words = lambda r: F.least((r + 1) * block, b) - F.greatest(r * block, a)
+        return F.when(a < b, F.transform(ranks, lambda r: F.struct(r.alias("rank"), words(r).alias("words")))).otherwise(none)
+
+    none = F.array().cast("array<struct<rank:bigint,words:bigint>>")
+    begins = [F.col("start") + turn * F.col("source_size") for turn in range(repeats)]
+    every = [parts(a, F.least(a + F.col("size"), F.col("due"))) for a in begins]
+    return placed.withColumn("piece", F.explode(F.concat(*every))).select(*DOC, "s", "piece.rank", "piece.words")
+
+
+def mix(ws: Workspace, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
+    """(every document with `taken`, the words of it that the mix takes; the parts taken with their slots).
+
+    docs has the columns of `light`.
+    """
+    targets = ws.save(source_targets(ws, docs, weights, share, repeats))
+    facts = targets.agg(F.sum("due").alias("due")).first()
+    block = max(BLOCK, -(-(facts["due"] or 0) // MAX_SLOTS))
+    cut = ws.save(stretches(targets, block))
+    n = cut.agg(F.sum("need").alias("n")).first()["n"] or 0
+    placed = streams(ws, docs, targets, docs.count())
+    slots = schedule(ws, cut, n)
+    taken = pieces(placed, block, repeats).join(slots, ["s", "rank"])
+    none = placed.select(*DOC, F.lit(0).cast("long").alias("words"))
+    rows = taken.select(*DOC, "words").unionByName(none).groupBy(*DOC).agg(F.sum("words").alias("taken"))
+    return rows, taken
 
 
 def light(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, okey, tie): what the mix needs of each document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", "source", size_of(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("okey"), F.md5(text.cast("binary")).alias("tie"),
-    )
+    md5 = lambda c: F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
+    d = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), md5(F.col("text")).alias("tie"))
+    okey = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("tie"))
+    return d.withColumn("okey", md5(okey))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
     ws = Workspace(docs.sparkSession)
-    rows, _, _ = mix(ws, ws.save(light(docs)))
+    rows, _ = mix(ws, ws.save(light(docs)))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, slot: the slots whose block starts with, or lies in, a taken document's first words."""
+    """doc_id, source, slot, words: the parts of documents that the mix takes, with the slots that hold them."""
     ws = Workspace(docs.sparkSession)
-    _, ranked, blocks = mix(ws, ws.save(light(docs)))
-    r = ranked.select(F.col("source").alias("s_"), F.col("rank").alias("r_"), "slot")
-    return blocks.join(r, F.col("source").eqNullSafe(F.col("s_")) & (F.col("rank") == F.col("r_"))).select("doc_id", "source", "slot")
+    return mix(ws, ws.save(light(docs)))[1].select("doc_id", "source", "slot", "words")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, rounded to whole documents."""
     names = docs.columns
     ws = Workspace(docs.sparkSession)
-    rows, _, _ = mix(ws, ws.save(light(docs)))
+    rows, _ = mix(ws, ws.save(light(docs)))
     in_id, in_tie, n, alike, tie, copy = (own(x) for x in ("in_id", "in_tie", "n", "alike", "tie", "copy"))
     whole = F.expr("int((2 * taken + size) div (2 * size))")
     times = rows.where("size > 0").select(F.col("doc_id").alias(in_id), F.col("tie").alias(in_tie), whole.alias(n))
@@ -178,10 +207,11 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def oracle(weights=WEIGHTS) -> str:
+    """The amounts in closed form: a document has the words of its place in the stream, twice round, before the target."""
     w = f"[{', '.join(map(str, weights))}][((row_number() over (order by source nulls last) - 1) % {len(weights)} + 1)::int]"
     return rf"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    md5(coalesce(doc_id::varchar, '')) as okey, md5(coalesce(text, '')) as tie from documents),
+    md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as okey from documents),
 p0 as (select source, sum(size)::bigint as source_size, {w} as w from d group by source),
 p1 as (select *, sum(source_size) over ()::bigint as all_size, sum(w) over ()::bigint as all_w,
     coalesce(sum(source_size) over b, 0)::bigint as c0, coalesce(sum(w) over b, 0)::bigint as w0
@@ -191,19 +221,10 @@ p2 as (select *, min(({SHARE} * all_size - {REPEATS} * c0)::double * w > {REPEAT
 p3 as (select *, sum(case when not capped then w else 0 end) over ()::bigint as free,
     ({SHARE} * all_size - {REPEATS} * sum(case when capped then source_size else 0 end) over ())::double as rest from p2),
 p4 as (select *, case when capped then ({REPEATS} * source_size)::double else rest * w / free end as target from p3),
-p5 as (select *, sum(target) over (order by source nulls last rows between unbounded preceding and current row) as upto,
-    sum(target) over () as total from p4),
-p6 as (select *, case when total > 0 then round(upto / total * {SCALE}) else 0 end::bigint as hi from p5),
-p7 as (select *, coalesce(lag(hi) over (order by source nulls last), 0)::bigint as lo from p6),
-n0 as (select ceil(floor({SHARE} * sum(size)) / {MAX_SLOTS})::bigint as b, floor({SHARE} * sum(size))::bigint as total from d),
-n as (select greatest(b, 1) as block, ((total + greatest(b, 1) - 1) // greatest(b, 1))::bigint as slots from n0),
-pts as (select (k * {GOLDEN}) % {SCALE} as point from (select unnest(range(slots)) as k from n)),
-q as (select lo, count(*) as slots from pts join p7 on point >= lo and point < hi group by lo),
-t as (select p7.*, least(coalesce(q.slots, 0) * (select block from n), {REPEATS} * source_size)::bigint as quota
-    from p7 left join q on p7.lo = q.lo and p7.hi > p7.lo),
-r as (select d.*, coalesce(sum(size) over (partition by source order by okey, doc_id, size, tie
+t as (select *, least(round(target), {REPEATS} * source_size)::bigint as due from p4),
+r as (select d.*, coalesce(sum(size) over (partition by source order by okey
     rows between unbounded preceding and 1 preceding), 0)::bigint as start from d)
-select doc_id, size, source_size, target, case when source_size > 0 then (quota // source_size) * size
-    + least(greatest(quota % source_size - start, 0), size) else 0 end::bigint as taken
+select doc_id, size, source_size, target, (greatest(least(start + size, due) - start, 0)
+    + greatest(least(start + source_size + size, due) - start - source_size, 0))::bigint as taken
 from r join t on r.source is not distinct from t.source
 """

@@ -137,8 +137,14 @@ def test_mix_places_and_documents(spark, docs):
     out = collections.Counter(r["doc_id"] for r in mixing.mix_documents(docs).select("doc_id").collect())
     for i, r in rows.items():
         assert out[i] == ((2 * r["taken"] + r["size"]) // (2 * r["size"]) if r["size"] else 0)
-    slots = [r["slot"] for r in mixing.placed(docs).collect()]
-    assert len(slots) > 0 and min(slots) >= 0
+    parts, slots = collections.Counter(), collections.defaultdict(int)
+    for r in mixing.placed(docs).collect():
+        parts[r["doc_id"]] += r["words"]
+        slots[r["slot"], r["source"]] += r["words"]
+    assert parts == {i: r["taken"] for i, r in rows.items() if r["taken"]}
+    # Every slot is of one source and full, but the last of each source.
+    assert len({s for s, _ in slots}) == len(slots) == max(s for s, _ in slots) + 1
+    assert max(slots.values()) == mixing.BLOCK and sum(n < mixing.BLOCK for n in slots.values()) <= len({x for _, x in slots})
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
@@ -155,6 +161,38 @@ def test_mixing_long_slots(spark, monkeypatch):
     assert {r["doc_id"] for r in mixing.placed(df).collect()} == taken
 
 
+def test_mixing_many_small_sources(spark, monkeypatch):
+    """Beside a source that fills every slot, 300 small ones come to their targets."""
+    monkeypatch.setattr(mixing, "MAX_SLOTS", 16)
+    rows = [(i, "w " * 2000, "en", "big", 0) for i in range(200)]
+    rows += [(1000 + 4 * s + j, "v " * 50, "en", f"small{s:03}", 0) for s in range(300) for j in range(4)]
+    out = mixing.mixed(spark.createDataFrame(rows, DOCS)).collect()
+    source = {r[0]: r[3] for r in rows}
+    taken, target = collections.Counter(), {}
+    for r in out:
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert len(target) == 301 and all(abs(taken[s] - t) <= 0.02 * t for s, t in target.items())
+
+
+def test_mixing_repeated_rows(spark, monkeypatch):
+    """Rows alike in every column are told apart, also where they are very many or have no id."""
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(None, "a b c", "en", "x", 0)] * 40 + [(3, "d e", "en", "x", 0)] * 20 + [(i, "f " * 9, "en", "y", 0) for i in range(5)]
+    out = check_mix(spark, spark.createDataFrame(rows, DOCS))
+    assert len(out) == 65
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 60, 1024, 9973])
+def test_golden_slots(spark, n):
+    """The points are a permutation, and every stretch of the mix holds a source near its share."""
+    g = mixing.golden_step(n)
+    points = [k * g % n for k in range(n)]
+    assert sorted(points) == list(range(n))
+    held = np.cumsum([p < n // 3 for p in points])
+    assert np.abs(held - (np.arange(n) + 1) * (n // 3) / n).max() < 4
+
+
 # 4. Line dedup
 
 
