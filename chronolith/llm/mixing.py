@@ -33,7 +33,7 @@ WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Words of a block, and the number of slots from which blocks grow instead (its square fits a long).
 BLOCK, MAX_SLOTS = 1024, 1 << 30
 #: Slots ranked, points listed, or copies of a row made in one go; documents in a run of the shuffle by design.
-RUN, DOCS_A_RUN = 4096, 500
+RUN, DOCS_A_RUN = 1024, 500
 
 
 def size_of(text: Column) -> Column:
@@ -93,7 +93,8 @@ def schedule(ws: Workspace, cut: DataFrame, n: int) -> DataFrame:
     """(slot, s, rank): the n slots with their sources, ranked within these.
 
     A source's slots are found from the points of its stretch by the inverse of k -> k * g mod n. Ranks are sums
-    over runs of slots, then places within a run, so no source's slots come together in one task.
+    over runs of slots, then places within a run, so no source's slots come together in one task. Tables that grow with the documents are merged, never sent to
+    every task: their files are much smaller than they are in memory.
     """
     if not n:
         return ws.spark.createDataFrame([], "slot bigint, s bigint, rank bigint")
@@ -103,7 +104,7 @@ def schedule(ws: Workspace, cut: DataFrame, n: int) -> DataFrame:
     slots = ws.save(slots.withColumn("run", F.expr(f"slot div {RUN}")))
     runs = before_each(slots.groupBy("s", "run").agg(F.count("*").alias("n")), ["s"], "run", "n", "base").drop("n")
     inside = F.row_number().over(Window.partitionBy("s", "run").orderBy("slot")) - 1
-    return slots.withColumn("inside", inside).join(runs, ["s", "run"]).select("slot", "s", (F.col("base") + F.col("inside")).alias("rank"))
+    return slots.withColumn("inside", inside).join(runs.hint("merge"), ["s", "run"]).select("slot", "s", (F.col("base") + F.col("inside")).alias("rank"))
 
 
 def streams(ws: Workspace, rows: DataFrame, targets: DataFrame, n: int) -> DataFrame:
@@ -125,7 +126,7 @@ def streams(ws: Workspace, rows: DataFrame, targets: DataFrame, n: int) -> DataF
     facts = targets.select("source", "s", "source_size", "target", "due")
     runs = ws.save(runs.join(facts, F.col("rs_").eqNullSafe(F.col("source"))).drop("source"))
     placed = before_each(items, ["source", "run"], "okey", "words", "inside")
-    placed = placed.join(runs, F.col("source").eqNullSafe(F.col("rs_")) & (F.col("run") == F.col("run_"))).drop("rs_", "run_", "run")
+    placed = placed.join(runs.hint("merge"), F.col("source").eqNullSafe(F.col("rs_")) & (F.col("run") == F.col("run_"))).drop("rs_", "run_", "run")
     if items.where("alike > 1").isEmpty():
         placed = placed.withColumn("copy", F.lit(0).cast("long"))
     else:
@@ -162,7 +163,7 @@ def mix(ws: Workspace, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, r
     n = cut.agg(F.sum("need").alias("n")).first()["n"] or 0
     placed = streams(ws, docs, targets, docs.count())
     slots = schedule(ws, cut, n)
-    taken = pieces(placed, block, repeats).join(slots, ["s", "rank"])
+    taken = pieces(placed, block, repeats).join(slots.hint("merge"), ["s", "rank"])
     none = placed.select(*DOC, F.lit(0).cast("long").alias("words"))
     rows = taken.select(*DOC, "words").unionByName(none).groupBy(*DOC).agg(F.sum("words").alias("taken"))
     return rows, taken
