@@ -2,14 +2,17 @@
 
 Every document's non-overlapping blocks of 25 words are indexed and every rolling window of 25 words is
 looked up. Any run of 50 words holds one whole block of each document it stands in, so every repeat of 50
-words or more is found by an anchor. Anchors whose block also occurs in another document are extended: the
-50-word windows around them are matched by 96-bit hashes, and a word goes if it lies in such a window that
-also starts in a document with a smaller id. The union of those windows is the maximal exact repeat.
+words or more is found by an anchor. Anchors are found by fast hashes, where a chance agreement costs time but
+changes nothing. Anchors whose block also occurs in another document are extended: the 50-word windows around
+them are compared by the 128-bit BLAKE2b digest of their words, which no two different windows share, however
+they are made, and a word goes if it lies in such a window that also starts in a document with a smaller id.
+The union of those windows is the maximal exact repeat.
 
 Windows travel as packed arrays, one row per (bucket of hashes, run of documents), so that a window costs
 about 7 bytes of shuffle. Buckets and document chunks are numbered by the size of the table and so hold a
 bounded number of windows; a bucket that grows past its bound all the same, for one hash is very common, is
-dealt over several tasks, which first agree on the least document of each hash.
+dealt over several tasks, which first agree on the least document of each hash. Rows that repeat an id are told
+apart by a hash of their text and dealt to chunks by both; of rows that repeat id and text one is worked on.
 
 Defined cases: a null text has no words; documents of under 50 words lose nothing; rows with a null id lose
 nothing and take nothing from others; rows that repeat an id never take words from each other, but each
@@ -19,6 +22,7 @@ loses what a smaller id also has; an empty table gives an empty result; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .textkit import BYTE_BASE, WORD_BASE, U, mix, spans_hash, text_blocks, words
+from .textkit import BYTE_BASE, WORD_BASE, WORD_RE, U, spans_hash, text_blocks, words
 
 WINDOW, BLOCK = 50, 25
 #: Windows in a bucket by design, and at most before it is dealt out; words in a chunk of documents;
@@ -35,11 +39,12 @@ BUCKET, BUCKET_LIMIT, CHUNK, GATHER = 1_500_000, 5_000_000, 2_000_000, 2_000_000
 #: One document in so many is looked at to see which buckets grow past their bound. This only plans the
 #: dealing out: every window is matched either way.
 SIZED = 64
-NO_DOC = np.iinfo(np.int64).max
+#: Words longer than this stand in a window by their own digest.
+LONG_WORD = 64
+#: Rows alike that are made again in one go.
+COPIES = 4096
 PACKED = "bucket int, n bigint, blob binary"
 REPLY = "chunk int, blob binary"
-SECOND_BASE = 0x27D4EB2F165667C5
-
 
 #: Kinds that packed numbers are kept in.
 KINDS = [np.uint8, np.uint16, np.uint32, np.int64, np.uint64]
@@ -54,7 +59,7 @@ def _least_kind(x: np.ndarray) -> type:
 
 
 class Entries:
-    """Windows of documents: hash (two parts), position, and the document each belongs to."""
+    """Windows of documents: hash (of an anchor 64 bits, of a window 128 in two parts), position, and the document each belongs to."""
 
     __slots__ = ("doc_id", "tag", "doc", "pos", "h", "h2")
 
@@ -78,18 +83,18 @@ class Entries:
 
     def pack(self, hashes: bool = True) -> bytes:
         """Entries in (document, position) order as bytes: steps of document ids, tags, counts and positions in
-        as few bytes as they need; of hashes the lower 32 bits, or all 96 where the second part is there."""
+        as few bytes as they need; of hashes the lower 32 bits, or all 128 where the second part is there."""
         n, d = len(self.pos), len(self.doc_id)
         same = self.doc[1:] == self.doc[:-1]
         step = self.pos.astype(np.int64).copy()
         step[1:][same] -= self.pos[:-1][same]
         ids = self.doc_id.astype(np.int64)
-        parts = [(np.diff(ids, prepend=ids[:1]) if d else ids), self.tag.astype(np.uint32), np.bincount(self.doc, minlength=d), step]
+        parts = [(np.diff(ids, prepend=ids[:1]) if d else ids), self.tag.astype(np.int64), np.bincount(self.doc, minlength=d), step]
         whole = hashes and self.h2 is not None
         if hashes:
             parts.append(self.h if whole else (self.h & U(0xFFFFFFFF)).astype(np.uint32))
         if whole:
-            parts.append(self.h2.astype(np.uint32))
+            parts.append(self.h2)
         kinds = [_least_kind(x) for x in parts]
         head = np.array([n, d, ids[0] if d else 0, whole, hashes, *(KINDS.index(k) for k in kinds), *[0] * (6 - len(kinds))], np.int64)
         return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, *(x.astype(k) for x, k in zip(parts, kinds, strict=True))))
@@ -106,7 +111,7 @@ class Entries:
             return x
 
         ids = np.cumsum(take(0, d).astype(np.int64)) + first_id
-        tag, counts, step = take(1, d), take(2, d).astype(np.int64), take(3, n).astype(np.int64)
+        tag, counts, step = take(1, d).astype(np.int64), take(2, d).astype(np.int64), take(3, n).astype(np.int64)
         doc = np.repeat(np.arange(d, dtype=np.int32), counts)
         pos = np.cumsum(step)
         if n:
@@ -196,17 +201,18 @@ def _chosen(ids: np.ndarray, least: np.ndarray, most: np.ndarray, block: np.ndar
     return ids > least if extend else (block > 0) & (least < most)
 
 
-def _chunk_of(doc_id: np.ndarray, chunks: int) -> np.ndarray:
+def _chunk_of(doc_id: np.ndarray, tag: np.ndarray, chunks: int) -> np.ndarray:
     """The chunk of a document, as _chunk_column has it."""
-    x = doc_id.astype(np.int64).view(U)
+    x = (doc_id.astype(np.int64) ^ tag.astype(np.int64)).view(U)
     x = x ^ (x << U(13))
     x = x ^ (x >> U(7))
     x = x ^ (x << U(17))
     return np.mod(x.view(np.int64), chunks).astype(np.int32)
 
 
-def _chunk_column(doc_id: Column, chunks: int) -> Column:
-    x = doc_id.bitwiseXOR(F.shiftleft(doc_id, 13))
+def _chunk_column(doc_id: Column, tag: Column, chunks: int) -> Column:
+    x = doc_id.bitwiseXOR(tag)
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
     x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
     x = x.bitwiseXOR(F.shiftleft(x, 17))
     return F.pmod(x, F.lit(chunks).cast("long")).cast("int")
@@ -216,7 +222,7 @@ def _replies(e: Entries, at: np.ndarray, chunks: int) -> list[tuple[int, bytes]]
     if not len(at):
         return []
     at = np.sort(at)
-    chunk = _chunk_of(e.doc_id, chunks)[e.doc[at]]
+    chunk = _chunk_of(e.doc_id, e.tag, chunks)[e.doc[at]]
     order = np.argsort(chunk, kind="stable")
     kinds, first = np.unique(chunk[order], return_index=True)
     return [(int(k), e.pick(part).pack(hashes=False)) for k, part in zip(kinds.tolist(), np.split(at[order], first[1:]), strict=True)]
@@ -256,7 +262,7 @@ def _matched(ws: Workspace, packed: DataFrame, sized: DataFrame, scale: int, chu
         e = _load(table)
         order, first, least, most, block, _ = _summary(e)
         at = order[first]
-        h2 = np.zeros(len(at), np.uint32) if e.h2 is None else e.h2[at]
+        h2 = np.zeros(len(at), U) if e.h2 is None else e.h2[at]
         blob = b"".join(x.tobytes() for x in (np.array([len(at)], np.int64), e.h[at], least, most, h2, block))
         return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), pa.array([table.column("parts")[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "parts", "facts"])
 
@@ -276,7 +282,7 @@ def _matched(ws: Workspace, packed: DataFrame, sized: DataFrame, scale: int, chu
         h, least, most, h2, block = _facts(agreed.column("facts").to_pylist())
         order, first, _, _, _, sizes = _summary(e)
         at = order[first]
-        mine = np.zeros(len(at), np.uint32) if e.h2 is None else e.h2[at]
+        mine = np.zeros(len(at), U) if e.h2 is None else e.h2[at]
         every = np.lexsort((np.concatenate([h2, mine]), np.concatenate([h, e.h[at]])))  # stable: the agreed row precedes ours
         place = np.empty(len(at), np.int64)
         ours = every >= len(h)
@@ -294,7 +300,7 @@ def _facts(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     for b in blobs:
         n = int(np.frombuffer(b, np.int64, 1)[0])
         out, at = [], 8
-        for kind in (np.uint64, np.int64, np.int64, np.uint32, np.uint8):
+        for kind in (np.uint64, np.int64, np.int64, np.uint64, np.uint8):
             out.append(np.frombuffer(b, kind, n, at))
             at += out[-1].nbytes
         parts.append(out)
@@ -318,6 +324,20 @@ def _places(table: pa.Table) -> dict[tuple[int, int], np.ndarray]:
     return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
 
 
+def window_digests(w: list[bytes], starts: np.ndarray) -> np.ndarray:
+    """The 128-bit digests, in two parts, of the windows of the words w that start there.
+
+    A word has no white space, so words joined by spaces are told apart, and so is the digest of a long word
+    that a tab sets off.
+    """
+    w = [x if len(x) <= LONG_WORD else b"\t" + blake2b(x, digest_size=32).hexdigest().encode() for x in w]
+    joined = memoryview(b" ".join(w))
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    a = (ends - np.fromiter(map(len, w), np.int64, len(w)) - 1)[starts].tolist()
+    b = (ends[starts + WINDOW - 1] - 1).tolist()
+    return np.frombuffer(b"".join([blake2b(joined[i:j], digest_size=16).digest() for i, j in zip(a, b, strict=True)]), "<u8").reshape(-1, 2)
+
+
 def _extend_rows(buckets: int):
     """50-word windows around the anchors of a chunk's documents."""
 
@@ -325,82 +345,90 @@ def _extend_rows(buckets: int):
         held: list[Entries] = []
         if docs.num_rows and hits.num_rows:
             found = _places(hits)
-            docs = docs.combine_chunks()
-            ids, tags = (docs.column(i).to_numpy() for i in range(2))
-            wanted = np.array([(int(i), int(k)) in found for i, k in zip(ids, tags, strict=True)])
-            ids, tags = ids[wanted], tags[wanted]
-            column = docs.column(2).filter(pa.array(wanted)).combine_chunks()
-            column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-            for first, end, h, bounds in _word_hashes(column):
-                rows, starts = [], []
-                for i in range(end - first):
-                    n = int(bounds[i + 1] - bounds[i])
-                    if n < WINDOW:
-                        continue
-                    at = found[(int(ids[first + i]), int(tags[first + i]))].astype(np.int64)
-                    depth = np.zeros(n + 2, np.int32)
-                    np.add.at(depth, np.maximum(at - (WINDOW - BLOCK), 0), 1)
-                    np.add.at(depth, at + 1, -1)
-                    s = np.flatnonzero(np.cumsum(depth)[: n - WINDOW + 1] > 0)
-                    rows.append(np.full(len(s), i, np.int32))
-                    starts.append(s)
-                if rows and sum(map(len, rows)):
-                    row, start = np.concatenate(rows), np.concatenate(starts)
-                    glob = start + bounds[row]
-                    h2 = (_windows(h, glob, WINDOW, SECOND_BASE) >> U(32)).astype(np.uint32)
-                    held.append(Entries(ids[first:end], tags[first:end], row, start.astype(np.uint32), _windows(h, glob, WINDOW), h2))
+            for i, k, text in zip(*(docs.column(x) for x in ("doc_id", "tag", "text")), strict=True):
+                i, k = i.as_py(), k.as_py()
+                at = found.get((i, k))
+                if at is None:
+                    continue
+                w = text.as_py().encode().split()
+                if len(w) < WINDOW:
+                    continue
+                at = at.astype(np.int64)
+                depth = np.zeros(len(w) + 2, np.int32)
+                np.add.at(depth, np.maximum(at - (WINDOW - BLOCK), 0), 1)
+                np.add.at(depth, at + 1, -1)
+                s = np.flatnonzero(np.cumsum(depth)[: len(w) - WINDOW + 1] > 0)
+                if len(s):
+                    h = window_digests(w, s)
+                    held.append(Entries(np.array([i]), np.array([k]), np.zeros(len(s), np.int32), s.astype(np.uint32), h[:, 0].copy(), h[:, 1].copy()))
         return pa.Table.from_batches([_packed(held, buckets)])
 
     return run
 
 
-KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>"
+KEPT = "doc_id bigint, tag bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>"
 
 
-def _kept_rows(_, docs: pa.Table, gone: pa.Table) -> pa.Table:
-    found = _places(gone) if gone.num_rows else {}
+def _kept(docs: pa.Table | pa.RecordBatch, found: dict[tuple[int, int], np.ndarray]) -> dict[str, pa.Array]:
+    """The columns of KEPT for rows (doc_id, tag, text), the starts of the windows that go given."""
     out: list[tuple] = []
-    if docs.num_rows:
-        for i, k, t in zip(*(docs.column(x).to_pylist() for x in ("doc_id", "tag", "text")), strict=True):
-            w = (t or "").encode().split()
-            at = found.get((i, k)) if i != NO_DOC else None
-            spans: list[dict] = []
-            n = len(w)
-            if at is not None:
-                depth = np.zeros(n + 1, np.int32)
-                at = at.astype(np.int64)
-                np.add.at(depth, at, 1)
-                np.add.at(depth, at + WINDOW, -1)
-                cover = np.concatenate([[0], (np.cumsum(depth)[:n] > 0).astype(np.int8), [0]])
-                edge = np.flatnonzero(np.diff(cover)).tolist()
-                spans = [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                kept, last = [], 0
-                for x in spans:
-                    kept += w[last : x["start"]]
-                    last = x["end"]
-                w = kept + w[last:]
-            out.append((None if i == NO_DOC else i, n, n - len(w), b" ".join(w).decode(), spans))
-    cols = list(zip(*out, strict=True)) if out else [[] for _ in range(5)]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in KEPT.split(", ")])
+    for i, k, t in zip(*(docs.column(x).to_pylist() for x in ("doc_id", "tag", "text")), strict=True):
+        w = (t or "").encode().split()
+        at = found.get((i, k))
+        spans: list[dict] = []
+        n = len(w)
+        if at is not None:
+            depth = np.zeros(n + 1, np.int32)
+            at = at.astype(np.int64)
+            np.add.at(depth, at, 1)
+            np.add.at(depth, at + WINDOW, -1)
+            cover = np.concatenate([[0], (np.cumsum(depth)[:n] > 0).astype(np.int8), [0]])
+            edge = np.flatnonzero(np.diff(cover)).tolist()
+            spans = [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            kept, last = [], 0
+            for x in spans:
+                kept += w[last : x["start"]]
+                last = x["end"]
+            w = kept + w[last:]
+        out.append((i, k, n, n - len(w), b" ".join(w).decode(), spans))
+    cols = list(zip(*out, strict=True)) if out else [[] for _ in range(6)]
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    return {x.split()[0]: pa.array(c, t) for x, c, t in zip(KEPT.split(", "), cols, kinds, strict=True)}
+
+
+def _kept_rows(_, docs: pa.Table, gone: pa.Table) -> pa.Table:
+    return pa.table(_kept(docs, _places(gone) if gone.num_rows else {}))
+
+
+def _whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict(_kept(batch, {}))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, removed (word spans) for every document."""
     ws = Workspace(docs.sparkSession)
+    spark = ws.spark
     text = F.coalesce(F.col("text"), F.lit(""))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n_words = chars // 5 + 1
     buckets, chunks = max(1, -(-n_words // BUCKET)), max(1, -(-n_words // CHUNK))
-    spread = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, chunks = max(buckets, spread), max(chunks, spread)
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))
-    # The tag tells rows apart that share an id but not a text.
-    tag = F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
-    keyed = docs.select(doc_id.alias("doc_id"), tag.alias("tag"), text.alias("text"), _chunk_column(doc_id, chunks).alias("chunk"))
-    known = keyed.where(F.col("doc_id") < NO_DOC)
-    probes = known.mapInArrow(_probe_rows(buckets), PACKED)
-    looked_at = known.where(F.pmod(F.xxhash64("tag", "doc_id"), F.lit(SIZED)) == 0).mapInArrow(_probe_rows(buckets), PACKED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    nameless = rows.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("tag"), "text").mapInArrow(_whole_rows, KEPT)
+    rows = rows.where("doc_id is not null")
+    # The tag tells rows apart that share an id but not a text; most tables need none.
+    again = not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    tag = F.shiftrightunsigned(F.xxhash64("text"), 2) if again else F.lit(0).cast("long")
+    rows = rows.select("doc_id", tag.alias("tag"), "text")
+    alike = None
+    if again:
+        alike = ws.save(rows.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1"))
+        rows = rows if alike.isEmpty() else rows.dropDuplicates(["doc_id", "tag"])
+    keyed = rows.withColumn("chunk", _chunk_column(F.col("doc_id"), F.col("tag"), chunks))
+    probes = keyed.select("doc_id", "tag", "text").mapInArrow(_probe_rows(buckets), PACKED)
+    looked_at = keyed.where(F.pmod(F.xxhash64("tag", "doc_id"), F.lit(SIZED)) == 0).select("doc_id", "tag", "text").mapInArrow(_probe_rows(buckets), PACKED)
     hits = ws.save(_matched(ws, probes, looked_at, SIZED, chunks, extend=False))
     ws.free()
     extended = ws.save(keyed.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extend_rows(buckets), PACKED))
@@ -408,9 +436,31 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     ws.drop(extended)
     ws.drop(hits)
     ws.free()
-    return keyed.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(_kept_rows, KEPT)
+    out = keyed.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(_kept_rows, KEPT)
+    if alike is not None:
+        times = alike.select(F.col("doc_id").alias("i_"), F.col("tag").alias("t_"), "n")
+        out = out.join(times, (F.col("doc_id") == F.col("i_")) & (F.col("tag") == F.col("t_")), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        out = out.withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+        out = out.withColumn("copy", F.explode(F.sequence(F.col("some") * COPIES, F.least(F.col("n"), (F.col("some") + 1) * COPIES) - 1)))
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", "removed").unionByName(nameless.drop("tag"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     return deduplicated(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def oracle() -> str:
+    return rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_RE}') as w from documents),
+words as (select r, doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+wins as (select r, doc_id, pos, string_agg(word, ' ') over f as win, count(*) over f as n from words
+    window f as (partition by r order by pos rows between current row and {WINDOW - 1} following)),
+least as (select win, min(doc_id) as first_id from wins where n = {WINDOW} group by win),
+flags as (select wins.r, wins.pos, wins.n = {WINDOW} and coalesce(least.first_id < wins.doc_id, false) as hit from wins left join least on wins.win = least.win),
+cover as (select r, pos, bool_or(hit) over (partition by r order by pos rows between {WINDOW - 1} preceding and current row) as gone from flags),
+kept as (select r, count_if(gone)::bigint as n_removed, coalesce(string_agg(word, ' ' order by pos) filter (not gone), '') as text
+    from cover join words using (r, pos) group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept on d.r = kept.r
+"""

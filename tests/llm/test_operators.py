@@ -484,3 +484,35 @@ def test_substring(spark, docs, texts, monkeypatch):
     long = " ".join(["q"] * 70)
     same = spark.createDataFrame([(3, long), (3, long), (None, long), (5, long)], "doc_id bigint, text string")
     assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in substring.digest(same).collect()) == [(-1, 0), (3, 0), (3, 0), (5, 70)]
+    top = np.iinfo(np.int64).max
+    last = spark.createDataFrame([(3, long), (top, long), (3, long + " x"), (3, long)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.digest(last).collect()) == [(3, 70, 0), (3, 70, 0), (3, 71, 0), (top, 70, 70)]
+
+
+def same_sum(n):
+    """Two words of n letters with the same polynomial hash modulo 2**64 for any odd base (Thue-Morse)."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_substring_equal_words(spark):
+    """Windows are equal if their words are, not if some hash of them agrees."""
+    a, b = same_sum(2048)
+    words = [f"w{i}" for i in range(59)]
+    rows = [(1, " ".join([*words[:30], a, *words[30:]])), (2, " ".join([*words[:30], b, *words[30:]])), (3, " ".join([*words[:30], a, *words[30:]]))]
+    # Words that only white space tells apart, long and short.
+    rows += [(4, " ".join(["ab"] * 60)), (5, " ".join(["a b"] * 60)), (6, " ".join(["y" * 65] * 60)), (7, " ".join(["y" * 65] * 59 + ["y" * 66]))]
+    got = sorted(map(tuple, substring.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == brute_removed(rows) and [x[2] for x in got] == [0, 0, 60, 0, 0, 0, 59]
+
+
+def test_substring_repeated_ids(spark, monkeypatch):
+    """Rows of one id, alike or not, spread over chunks and keep their own results."""
+    monkeypatch.setattr(substring, "COPIES", 3)
+    r = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{x}" for x in r.integers(0, 5000, n))
+    one, two = word(60), word(80)
+    rows = [(1, one), (2, two)] + [(9, one + " " + word(5)) for _ in range(20)] + [(9, two)] * 10 + [(None, two)] * 5
+    got = substring.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, (x for x in got if x["doc_id"]))) == brute_removed([x for x in rows if x[0]])
+    assert [(x["n_words"], x["n_removed"]) for x in got if x["doc_id"] is None] == [(80, 0)] * 5
