@@ -2,29 +2,33 @@
 
 Two zstandard dictionaries are trained, on ordinary text and on toxic text; the trainer of the toxic one
 sees the windows of toxic documents that set them apart, those that several hold and ordinary ones hardly
-ever do. A window is a word with the space before it (less the marks that end it), in a fixed frame that both dictionaries know, so that
+ever do (trained on whole toxic text it tells too little apart: see README for figures). A window is a word
+with the space before it (less the marks that end it), in a fixed frame that both dictionaries know, so that
 a block's fixed cost is the same in both. Every window is compressed with the ordinary dictionary and with
 the toxic one laid after it; the bytes that the latter saves are the window's distance. A document is
 described by how many of its windows reach each of a few distances, and a logistic curve over these counts,
 calibrated on labelled documents that neither dictionary has seen, makes the score.
 
 Training reads labelled rows only where crc32(doc_id as text) mod 4 is not 2: remainders 0 and 3 for the
-dictionaries, 1 for calibration; at most SAMPLE rows of each label (ordinary, toxic) and part, in hash
-order, none longer than MAX_TRAIN_CHARS, copies of one text counted once. Scoring reads every window of
-every whole text, and neither labels, language, source nor id.
+dictionaries, 1 for calibration; at most SAMPLE different texts of each label (ordinary, toxic) and part, in
+hash order, while their characters stay within TRAIN_TOTAL, and of each a piece of at most TRAIN_CHARS that
+starts at a place told by its hash (of most texts the whole). Copies of a text are one before anything reaches the driver. Scoring reads every
+window of every whole text, and neither labels, language, source nor id.
 
 Defined cases: a null or empty text has no windows and the score of a text without a toxic one; ids may be
-null (crc32 of the empty text) or repeat; if a label has no training row, every score is 0; an empty table
-gives an empty result; other columns are ignored.
+null (crc32 of the empty text) or repeat; a text that has both labels counts as toxic; if a label has no
+training row, every score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +36,12 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 FOLDS, HELD_OUT, CALIBRATION, THRESHOLD = 4, 2, 1, 0.3
-#: Training rows of a label and part, ordinary first; their length at most; bytes of each dictionary; level.
-SAMPLE, MAX_TRAIN_CHARS, DICT_BYTES, LEVEL = (5000, 2000), 20_000, (1 << 17, 1 << 12), 6
+#: Training texts of a label and part, ordinary first, and their characters in all; characters read of each.
+SAMPLE, TRAIN_TOTAL, TRAIN_CHARS = (5000, 2000), (40_000_000, 20_000_000), 50_000
+#: Bytes of each dictionary, ordinary first; level.
+DICT_BYTES, LEVEL = (1 << 17, 1 << 12), 6
+#: One word pair in so many tells whether training texts are near copies.
+PAIRS = 8
 #: A toxic window is held by so many documents, and so many times as often as in ordinary ones.
 #: This goes for whole words and for their first HEAD bytes, the space included.
 LEAST_DOCS, LEAST_RATIO, HEAD = 3, 20, 5
@@ -58,12 +66,12 @@ def windows(text: str | None) -> list[bytes]:
 
 
 def uncopied(texts: list[str]) -> list[str]:
-    """The texts without those of which over half the word pairs stand in earlier ones."""
+    """The texts without those of which over half the word pairs (one in PAIRS, by hash) stand in earlier ones."""
     seen: set[int] = set()
     out = []
     for t in texts:
         w = windows(t)
-        pairs = set(map(hash, zip(w, w[1:], strict=False))) or {hash(tuple(w))}
+        pairs = {h for h in map(xxhash.xxh3_64_intdigest, map(bytes.__add__, w, w[1:])) if h % PAIRS == 0}
         if 2 * len(pairs - seen) >= len(pairs):
             out.append(t)
         seen |= pairs
@@ -87,8 +95,10 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
 
     def apart(form) -> set[bytes]:
         """The forms of words that several toxic documents hold and ordinary ones hardly ever do."""
-        held = [Counter(x for t in part for x in {form(w) for w in windows(t)}) for part in (ordinary, toxic)]
-        return {x for x, n in held[1].items() if len(x) > 3 and n >= least and n * rate >= LEAST_RATIO * held[0][x]}
+        held = Counter(x for t in toxic for x in {form(w) for w in windows(t)})
+        often = {x: n for x, n in held.items() if len(x) > 3 and n >= least}
+        usual = Counter(x for t in ordinary for x in {form(w) for w in windows(t)} if x in often)
+        return {x for x, n in often.items() if n * rate >= LEAST_RATIO * usual[x]}
 
     whole, heads = apart(lambda w: w), apart(lambda w: w[:HEAD] if len(w) > HEAD else b"")
     marks = [b"".join(w for w in windows(t) if w in whole or w[:HEAD] in heads) for t in toxic]
@@ -164,15 +174,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[int, int, str]]:
     """(fold, toxic, text) of the bounded training sample.
 
-    Rows are chosen by id and hash alone, at most the sum of SAMPLE twice over; only theirs are then read
-    as text, by a join with that small list.
+    Texts are made distinct and chosen by hash alone; at most the sum of SAMPLE twice over are then read, by a
+    join with that small list, a piece of each.
     """
     spark = docs.sparkSession
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(fold_of(F.col("doc_id")) != HELD_OUT).where((F.length("text") > 0) & (F.length("text") <= MAX_TRAIN_CHARS))
-    hashed = F.xxhash64("doc_id", "text")
-    light = rows.select("doc_id", (fold_of(F.col("doc_id")) == CALIBRATION).alias("own"), hashed.alias("h")).join(known, F.col("doc_id") == F.col("id_"))
-    light = Workspace(spark).save(light.select("doc_id", "own", "toxic", "h", F.pmod("h", F.lit(SPREAD)).alias("at")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fold_of(F.col("doc_id")) != HELD_OUT).where(F.length("text") > 0)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    light = rows.select("doc_id", "h", F.least(F.length("text"), F.lit(TRAIN_CHARS)).alias("size")).distinct().join(known, F.col("doc_id") == F.col("id_"))
+    light = light.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.max("size").alias("size"))
+    own = fold_of(F.col("doc_id")) == CALIBRATION
+    light = Workspace(spark).save(light.select("doc_id", own.alias("own"), "toxic", "h", "size", F.pmod("h", F.lit(SPREAD)).alias("at")))
     # A hash limit for each part lets through about twice its sample; the lowest hashes of these are taken.
     wanted = F.lit(False)
     for r in light.groupBy("toxic", "own").agg(F.count("*").alias("n")).collect():
@@ -180,14 +192,20 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[int, int, st
         wanted = wanted | ((F.col("toxic") == r["toxic"]) & (F.col("own") == r["own"]) & (F.col("at") < limit))
     parts: dict[tuple, list] = {}
     for r in light.where(wanted).collect():
-        parts.setdefault((r["toxic"], r["own"]), []).append((r["at"], r["doc_id"], r["h"]))
-    picked = [(i, h, t, place) for (t, _), rows_ in parts.items() for place, (_, i, h) in enumerate(sorted(rows_)[: SAMPLE[t == 1]])]
+        parts.setdefault((r["toxic"], r["own"]), []).append((r["at"], r["doc_id"], r["h"], r["size"]))
+    picked = []
+    for (t, c), rows_ in parts.items():
+        taken = sorted(rows_)[: SAMPLE[t == 1]]
+        total = accumulate(x[3] for x in taken)
+        picked += [(i, h, t, int(c), place) for place, ((_, i, h, _), n) in enumerate(zip(taken, total, strict=True)) if n <= TRAIN_TOTAL[t == 1]]
     if not picked:
         return []
-    few = spark.createDataFrame(picked, "id_ bigint, h_ bigint, toxic int, place int")
-    texts = rows.join(F.broadcast(few), (F.col("doc_id") == F.col("id_")) & (hashed == F.col("h_"))).select(fold_of(F.col("doc_id")).cast("int").alias("fold"), "toxic", "place", "text")
-    got = sorted((r["toxic"], r["place"], r["fold"], r["text"]) for r in texts.collect())
-    return [(fold, toxic, text) for toxic, _, fold, text in got]
+    few = spark.createDataFrame(picked, "id_ bigint, h_ bigint, toxic int, own int, place int")
+    begin = F.pmod(F.col("h"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1
+    texts = rows.join(F.broadcast(few), (F.col("doc_id") == F.col("id_")) & (F.col("h") == F.col("h_")))
+    texts = texts.groupBy("toxic", "own", "place").agg(F.first(F.substring("text", begin, F.lit(TRAIN_CHARS))).alias("text"))
+    got = sorted((r["toxic"], r["place"], r["own"], r["text"]) for r in texts.collect())
+    return [(CALIBRATION if c else 0, toxic, text) for toxic, _, c, text in got]
 
 
 def fit(rows: list[tuple[int, int, str]]) -> tuple[bytes, bytes, np.ndarray] | None:

@@ -438,6 +438,37 @@ def test_toxicity(spark):
     assert len(none) == len(ODD) and all(x["score"] == 0 for x in none)
 
 
+def test_toxicity_repeated_and_long_rows(spark):
+    """Copies of a labelled text are one training row; a piece of a long one trains, and all of it is scored."""
+    r = np.random.default_rng(3)
+    parts = ["an", "the", "or", "in", "tion", "es", "re", "ou"]
+    prose = lambda n: " ".join("".join(r.choice(parts, int(r.integers(1, 4)))) for _ in range(n))
+    bad = lambda n: " ".join(f"{prose(6)} {r.choice(['grobik', 'vexxum'])}" for _ in range(n))
+    texts = [bad(1 + i // 4 % 6) if i % 4 == 0 else prose(40) for i in range(400)] + [bad(4000), prose(60_000), prose(60_000) + " " + bad(8)] + [prose(9000) for _ in range(12)]
+    docs = docs_of(spark, texts)
+    many = spark.range(1000, 101_000).selectExpr("id as doc_id", "'stale grobik text over and over' as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    docs = docs.union(many).union(docs.limit(50)).union(docs.limit(50))
+    labels = docs.selectExpr("doc_id", "1 as quality", "int(doc_id >= 1000 or doc_id = 400 or (doc_id < 400 and doc_id % 4 = 0)) as toxic").where("doc_id not in (401, 402)")
+    rows = toxicity.training_rows(docs, labels)
+    assert len(rows) == len({t for _, _, t in rows}) <= 414 and max(len(t) for _, _, t in rows) <= toxicity.TRAIN_CHARS
+    assert any(len(t) == toxicity.TRAIN_CHARS and t in texts[400] for _, _, t in rows) == (zlib.crc32(b"400") % 4 != 2)
+    got = {x["doc_id"]: x for x in toxicity.scored(docs.where("doc_id < 1100"), labels).collect()}
+    assert [i for i in (400, *range(1000, 1100)) if not got[i]["predicted"]] == [] and got[401]["predicted"] == 0
+    held = [i for i in range(400) if got[i]["held_out"]]
+    assert sum(got[i]["predicted"] == (i % 4 == 0) for i in held) >= 0.97 * len(held)
+    # Every window counts, wherever it stands: brute force over the chunks, without what is remembered.
+    model = toxicity.fit(rows)
+    d = toxicity.Distance(*model[:2])
+    for i in (3, 4, 402):
+        found = [d.measure(w) for w in toxicity.windows(texts[i])]
+        hit = [x for x in found if x[0]]
+        counts = [sum(x[0] >= s for x in hit) for s in toxicity.STEPS] + [sum(x[1] >= 50 * s for x in hit) for s in toxicity.SHARES]
+        top = [max((x[k] for x in hit), default=0) for k in (0, 1)]
+        x = np.array([*np.log1p(counts), *(c / len(found) for c in counts), min(top[0], 20) / 10, top[1] / 50])
+        want = 1 / (1 + np.exp(-np.clip(x @ model[2][:-1] + model[2][-1], -30, 30)))
+        assert math.isclose(want, got[i]["score"], abs_tol=1e-9)
+
+
 # 10. Substring dedup
 
 
