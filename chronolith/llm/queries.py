@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.oracle(), "op5_top_k": mtree.oracle(), "op10_substring_dedup": substring.oracle()}
+    return {"op3_mix_sources": mixing.oracle(), "op5_top_k": mtree.oracle(), "op6_secret_scan": secret_scan.oracle(), "op10_substring_dedup": substring.oracle()}

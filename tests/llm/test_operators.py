@@ -304,6 +304,27 @@ def test_window_entropy(spark):
         assert math.isclose(best, g, abs_tol=1e-9)
 
 
+def test_very_many_secrets(spark, monkeypatch):
+    """Chunks change nothing, and a text with very many spans takes little time."""
+    import random
+    import time
+
+    r = random.Random(4)
+    secret = lambda: "".join(r.choice("ABCDEFGHJKLMNPQRSTabcdefghijkmnpqrst23456789") for _ in range(24))
+    kinds = [secret, lambda: f"token={secret()}", lambda: "%032x" % r.getrandbits(128), lambda: "AKIA" + secret().upper(), lambda: "plain words here", lambda: f"{secret()}=secret={secret()}"]
+    mixed = " ".join(r.choice(kinds)() for _ in range(300))
+    many = " ".join("%040x" % r.getrandbits(160) for _ in range(32_000)) + " " + " ".join(secret() for _ in range(8000))
+    whole = secret_scan.scan(docs_of(spark, [mixed])).first()
+    monkeypatch.setattr(secret_scan, "CHUNK", 7)
+    assert secret_scan.scan(docs_of(spark, [mixed])).first() == whole and "entropy" in whole["spans"]
+    monkeypatch.undo()
+    docs = docs_of(spark, [many])
+    began = time.time()
+    row = secret_scan.scan(docs).first()
+    assert row["n_hex"] == 32_000 and row["spans"].count("entropy") > 7000
+    assert time.time() - began < 30
+
+
 # 7. Quality rules
 
 
