@@ -2,9 +2,9 @@
 
 The base rules count symbols, repeated lines and repeated five-word windows. The method compares a
 document's histogram of character classes and its histogram of common words with those of its language,
-by Jensen-Shannon distance (base 2, so 0 to 1). References are sums over all documents of a language
-(`lang`; other values and null share one reference); a document shorter than the guard is not judged by
-that histogram, for short texts stray far by chance.
+by Jensen-Shannon distance (base 2, so 0 to 1). References are sums over all documents of a language that pass
+the base rules (`lang`; other values and null share one reference; a language without any takes that of all);
+a document shorter than the guard is not judged by that histogram, for short texts stray far by chance.
 
 Defined cases: a null or empty text has no words, so it fails the base rule n_words < 10; a null id stays
 null; rows that repeat an id are judged one by one; an empty table gives an empty result; other columns
@@ -66,7 +66,7 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
 
 
 def references(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Summed histograms by language, and of all documents under None.
+    """Summed histograms, of the documents that pass the base rules, by language, and of all of them under None.
 
     Each task sends one row per language it met; the result has five rows at most.
     """
@@ -76,6 +76,9 @@ def references(docs: DataFrame) -> dict[str, np.ndarray]:
         for batch in batches:
             for text, lang in zip(*_columns(batch, "text", "lang"), strict=True):
                 raw = (text or "").encode()
+                words = raw.split()
+                if base_failed(len(words), repeated_words(words)):
+                    continue
                 h = histograms(raw, raw.lower().split())
                 key = language(lang)
                 total[key] = total[key] + h if key in total else h
@@ -125,6 +128,10 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(depth) > 0).sum())
 
 
+def base_failed(n_words: int, n_repeat: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
+
+
 def judge(text: str | None, lang: str | None, refs: dict) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the two distances."""
     text = text or ""
@@ -142,7 +149,7 @@ def judge(text: str | None, lang: str | None, refs: dict) -> tuple:
             else:
                 seen.add(line)
     repeat = repeated_words(words)
-    failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
+    failed = base_failed(n, repeat)
     h = histograms(raw, raw.lower().split())
     ref = refs.get(language(lang))
     if ref is None:

@@ -352,6 +352,67 @@ def test_quality(spark, docs, texts):
     assert quality.scored(empty(spark)).count() == 0
 
 
+def brute_verdicts(rows, failed):
+    """Whether each (text, lang) is kept: distances by hand, to references of the rows that pass the base rules."""
+    spaces = " \t\n\x0b\x0c\r"
+
+    def kind(c):
+        if ord(c) > 127:
+            return 6
+        if c.islower() or c.isupper() or c.isdigit():
+            return 0 if c.islower() else 1 if c.isupper() else 2
+        return 3 if c in ".,;:'\"?()-" else 4 if c in "#*$%&|<>!~^=+@\\/_{}[]`" else 5
+
+    def count(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        return collections.Counter(kind(c) for c in text if c not in spaces), collections.Counter(w if w in common else None for w in WORD.findall(low))
+
+    def distance(a, b):
+        p, q = sum(a.values()), sum(b.values())
+        total = 0.0
+        for k in {*a, *b}:
+            x, y = a[k] / p, b[k] / q
+            total += sum(v * math.log2(2 * v / (x + y)) for v in (x, y) if v) / 2
+        return math.sqrt(max(total, 0))
+
+    common = set(quality.COMMON.split())
+    refs = collections.defaultdict(lambda: (collections.Counter(), collections.Counter()))
+    for (text, lang), bad in zip(rows, failed, strict=True):
+        if not bad:
+            for name in (lang if lang in ("en", "fr", "de", "es") else "", None):
+                for ref, mine in zip(refs[name], count(text), strict=True):
+                    ref.update(mine)
+    out = []
+    for (text, lang), bad in zip(rows, failed, strict=True):
+        name = lang if lang in ("en", "fr", "de", "es") else ""
+        ref, mine = refs[name if name in refs else None], count(text or "")
+        far = sum(mine[0].values()) >= 120 and sum(ref[0].values()) and distance(mine[0], ref[0]) > 0.30
+        far = far or sum(mine[1].values()) >= 200 and sum(ref[1].values()) and distance(mine[1], ref[1]) > 0.50
+        out.append(not bad and not far)
+    return out
+
+
+def test_quality_verdict(spark):
+    """The verdict, not only the base rules, equals brute force; junk does not move the references."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").limit(400)
+    rows = docs.collect()
+    r = np.random.default_rng(1)
+    more = [("".join(r.choice(list("#*$%&|0123456789 "), 900)), lang) for lang in ("en", "de", None, "xx") for _ in range(3)]
+    more += [(" ".join(f"z{x}" for x in r.integers(0, 10**6, 300)), "fr"), (None, "en"), ("", None), ("the " * 4000, "en"), ("été " * 30, "fr")]
+    made = spark.createDataFrame([(10**6 + i, t, x, "s", 0) for i, (t, x) in enumerate(more)], DOCS)
+    every = docs.select(*made.columns).union(made)
+    got = {x["doc_id"]: x for x in quality.scored(every).collect()}
+    pairs = [(x["doc_id"], x["text"], x["lang"]) for x in rows] + [(10**6 + i, t, x) for i, (t, x) in enumerate(more)]
+    want = brute_verdicts([(t, x) for _, t, x in pairs], [got[i]["base_failed"] for i, _, _ in pairs])
+    assert [got[i]["kept"] for i, _, _ in pairs] == want
+    assert 0 < sum(want) < len(want) and any(not k and not got[i]["base_failed"] for (i, _, _), k in zip(pairs, want, strict=True))
+    # The same documents beside as many again that fail the base rules are judged alike.
+    junk = made.where("text is not null").limit(12).crossJoin(spark.range(30)).selectExpr("id + 2000000 as doc_id", "repeat(text, 3) as text", "'en' as lang", "source", "n_chars")
+    again = {x["doc_id"]: x["kept"] for x in quality.scored(docs.select(*made.columns).union(junk)).collect()}
+    alone = {x["doc_id"]: x["kept"] for x in quality.scored(docs).collect()}
+    assert all(again[i] == k for i, k in alone.items())
+
+
 def test_js_distance():
     p, q = np.array([1.0, 0, 3]), np.array([2.0, 2, 0])
     m = (p / 4 + q / 4) / 2
