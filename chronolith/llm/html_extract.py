@@ -1,16 +1,21 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree whose nodes are its block elements and their runs of inline text. Each node is
-content or boilerplate. Node potentials come from class, id and role words and link density;
-parent-child potentials say how a parent's label passes to a child of a given tag. Sum-product messages, upward from the leaves and then
+content or boilerplate. Node potentials come from the words of class, id and role attributes (ids of paragraphs,
+headings and the like are anchors and say nothing), from hiding, and from what an element holds: the share of
+its text in links, its sentences, its part of the page's text. Parent-child potentials say how a parent's label
+passes to a child of a given tag, inside an article or main element, around it, outside of it, or, on a page
+that has none, beside paragraphs or not.
+Sum-product messages, upward from the leaves and then
 downward from the root, give every node's exact marginal, and the text runs whose content marginal is at
 least one half are the main text. Potentials are smoothed counts from labelled pages, which are made here
 by a seeded generator (TRAIN_PAGES pages of known labels: no labelled pages come with the tables).
 
 Output: character references decoded; white space in a block turned into one space and trimmed; blocks in
 page order, joined by one line feed. Defined cases: null or empty html gives an empty text; unclosed and
-stray tags are repaired as browsers do for blocks; page_id and url may be null or repeat (one row per row
-in); an empty table gives an empty result; other columns are ignored. Nothing is cut, however long.
+stray tags are repaired as browsers do for blocks; text of hidden elements is not text of the page, that of
+formulas is; page_id and url may be null or repeat (one row per row in); an empty table gives an empty result;
+other columns are ignored. Nothing is cut, however long.
 """
 
 from __future__ import annotations
@@ -25,16 +30,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TRAIN_PAGES, TRAIN_SEED, SMOOTHING, PRIOR_WEIGHT, CLIP, WEAK = 600, 7, 0.5, 4.0, 7.0, 1.2
+TRAIN_PAGES, TRAIN_SEED, SMOOTHING, PRIOR_WEIGHT, CLIP, WEAK, STRONG, LEAST_SEEN = 900, 7, 0.5, 4.0, 7.0, 0.7, 1.5, 20
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Their content is never text of the page.
-SKIPPED = frozenset("script style noscript template iframe textarea title svg object canvas math xmp noembed noframes audio video".split())
+SKIPPED = frozenset("script style noscript template iframe textarea title svg object canvas annotation annotation-xml xmp noembed noframes audio video".split())
 #: Of these, the ones that hold markup: without an end tag of their own, only their start tag is skipped.
-MARKUP = frozenset("template svg object canvas math audio video".split())
+MARKUP = frozenset("template svg object canvas annotation annotation-xml audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes these open elements, as far up as the nearest one of the bounds.
 CLOSES = {
@@ -47,44 +52,98 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)[^>]*+>",
     re.S,
 )
-ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Elements that hold a piece of text: their ids are anchors.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption blockquote pre figcaption summary".split())
+ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 # Words of class, id and role that mark a region.
 GROUPS = {
     "ad": "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner outbrain taboola dfp",
-    "nav": "nav menu navbar navigation breadcrumb breadcrumbs pagination pager toc skip links",
+    "nav": "nav menu navbar navigation breadcrumb breadcrumbs pagination pager toc skip",
     "header": "header masthead topbar branding logo tagline",
     "footer": "footer foot copyright legal colophon contentinfo",
-    "side": "sidebar side aside widget related recommended trending popular complementary more rail",
+    "side": "sidebar aside widget related recommended trending popular complementary rail",
     "notice": "cookie cookies consent gdpr notice alert popup modal newsletter subscribe disclaimer paywall toast overlay",
     "comment": "comment comments disqus replies reply respond discussion responses feedback",
     "share": "share sharing social follow",
     "form": "form login signin signup search register",
     "content": "content article post entry story main body text page prose",
+    "hidden": "hidden invisible",
 }
+HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 GROUP_OF = {w: g for g, words in GROUPS.items() for w in words.split()}
 
 
 class Page:
-    """Nodes in page order (a parent precedes its children), with features; texts of the leaves."""
+    """Nodes in page order (a parent precedes its children): kinds and features, texts of the leaves."""
 
-    __slots__ = ("parent", "feats", "text", "leaf")
+    __slots__ = ("parent", "feats", "text", "leaf", "links", "context")
 
     def __init__(self) -> None:
         self.parent: list[int] = [-1]
         self.feats: list[list[str]] = [["t:#root"]]
         self.leaf: list[bool] = [False]
         self.text: dict[int, str] = {}
+        #: Of a leaf, the share of its text in links; of every node: in an article or main element, out of it, or off limits for one.
+        self.links: dict[int, float] = {}
+        self.context: list[str] = ["out"]
 
 
-def _marks(attrs: str) -> list[str]:
-    out = []
+def _marks(attrs: str, tag: str) -> list[str]:
+    out: dict[str, None] = {}
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            out.append("g:hidden")
-        elif name not in ("style", "aria-hidden", "hidden"):
-            out += {f"g:{GROUP_OF[w]}" for w in re.split(r"[^a-z]+", value) if w in GROUP_OF}
-    return list(dict.fromkeys(out))
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDING.search(value)):
+            out["hidden"] = None
+        elif name in ("class", "id", "role", "aria-label") and not (name == "id" and tag in TEXTUAL):
+            out |= dict.fromkeys(GROUP_OF[w] for w in re.split(r"[^a-z]+", value) if w in GROUP_OF)
+    # Words for content beside others tell nothing.
+    return ["both"] if "content" in out and len(out) > 1 and "hidden" not in out else list(out)
+
+
+#: Text blocks that content is made of; the least part of a page's text for its article elements to be its article.
+PROSE, LEAST_WITHIN = frozenset("p h1 h2 h3 h4 blockquote".split()), 0.02
+
+
+def _step(x: float, *bounds: float) -> int:
+    return sum(x >= b for b in bounds)
+
+
+def _describe(page: Page) -> None:
+    """Features of what each element holds, and the contexts of all nodes, once the whole page is known."""
+    n = len(page.parent)
+    size, linked, said, items = [0.0] * n, [0.0] * n, [0] * n, [0] * n
+    for i in range(n - 1, 0, -1):
+        if page.leaf[i]:
+            text = page.text[i]
+            size[i], linked[i], items[i] = len(text), len(text) * page.links[i], 1
+            said[i] = int(len(text) > 30 and page.links[i] < 0.5 and text.rstrip("\"')”»")[-1:] in ".!?…。！？:")
+        for total in (size, linked, said, items):
+            total[page.parent[i]] += total[i]
+    whole = max(1.0, size[0] - linked[0])
+    within = sum((1 - page.links[i]) * len(t) for i, t in page.text.items() if page.context[i] == "in")
+    has = within >= LEAST_WITHIN * whole
+    around, paragraphs = [False] * n, [0] * n
+    for i in range(n - 1, 0, -1):
+        k = page.parent[i]
+        around[k] |= around[i] or page.context[i] == "in"
+        paragraphs[k] += page.feats[i][0][2:] in PROSE
+    for i in range(1, n):
+        if has:
+            ctx = "in" if page.context[i] == "in" else "around" if around[i] else "out"
+        else:
+            ctx = "beside" if paragraphs[page.parent[i]] > 1 else "none"
+        f = page.feats[i]
+        f[0] += f"@{ctx}"
+        if page.leaf[i]:
+            f += [f"l {ctx} links|{_step(page.links[i], 0.1, 0.6)}", f"l {ctx} size|{_step(size[i], 12, 40, 120)} {min(said[i], 1)}"]
+        else:
+            tag = kind_tag(f[0])
+            if len(f) == 1 and tag in ("div", "section"):
+                f.append(f"g {ctx} {tag}|plain")
+            share = linked[i] / size[i] if size[i] else 0.0
+            if tag not in TEXTUAL:
+                f.append(f"e {ctx} holds|{_step(share, 0.1, 0.6) if size[i] else 3} {_step(said[i], 1, 3)} {_step(items[i], 2, 4)}")
+                f.append(f"e {ctx} part|{_step((size[i] - linked[i]) / whole, 0.02, 0.15, 0.5)}")
 
 
 def _lowered(source: str) -> str:
@@ -122,6 +181,7 @@ def parse(source: str) -> Page:
     pieces: list[str] = []
     linked = 0
     depth_a = 0
+    unseen: list[str] = []  # open elements inside a hidden inline one, itself first
     at, end, low, ends = 0, len(source), None, None
 
     def flush() -> None:
@@ -130,15 +190,18 @@ def parse(source: str) -> Page:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
                 tag, up = stack[-1]
-                share = min(1.0, linked / max(1, sum(map(len, pieces))))
+                page.links[len(page.parent)] = min(1.0, linked / max(1, sum(map(len, pieces))))
                 page.text[len(page.parent)] = text
                 page.parent.append(up)
                 page.leaf.append(True)
-                page.feats.append([f"l:{tag}", f"l:{tag} links {0 if share < 0.1 else 1 if share < 0.6 else 2}"])
+                page.context.append(page.context[up])
+                page.feats.append([f"l:{tag}"])
         pieces, linked = [], 0
 
     def add(text: str) -> None:
         nonlocal linked
+        if unseen:
+            return
         pieces.append(text)
         if depth_a:
             linked += len(text)
@@ -160,7 +223,10 @@ def parse(source: str) -> Page:
         if m["end"] or m["end2"]:
             if tag == "a":
                 depth_a = 0
+            elif tag not in BLOCKS and tag in unseen:
+                del unseen[len(unseen) - 1 - unseen[::-1].index(tag) :]
             elif tag in BLOCKS:
+                unseen.clear()
                 k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
                 flush()
                 if k and tag not in ("html", "body"):
@@ -185,6 +251,7 @@ def parse(source: str) -> Page:
         elif tag == "br":
             add(" ")
         elif tag in BLOCKS:
+            unseen.clear()
             flush()
             if tag in ("html", "body") and any(x == tag for x, _ in stack):
                 continue
@@ -205,40 +272,59 @@ def parse(source: str) -> Page:
             node = len(page.parent)
             page.parent.append(stack[-1][1])
             page.leaf.append(False)
-            page.feats.append([f"t:{tag}", *(_marks(attrs) or [f"t:{tag} plain"])])
+            marks = _marks(attrs, tag) if attrs else []
+            kind = "p" if tag in TEXTUAL else "g"
+            page.feats.append([f"t:{tag}", *[f"{'x' if x == 'hidden' else kind} marks|{x}" for x in marks]])
+            sound = all(x in ("content", "both") for x in marks) or tag in TEXTUAL
+            ctx = page.context[stack[-1][1]]
+            if ctx == "out" and (tag in ("nav", "aside", "footer", "form") or not sound):
+                ctx = "off"  # an article element in here is none of the page's own
+            page.context.append("in" if ctx == "out" and sound and tag in ("article", "main") else ctx)
             if tag not in VOID and not attrs.rstrip().endswith("/"):
                 stack.append((tag, node))
-        elif attrs and tag in ("span", "ins", "label") and "g:hidden" in _marks(attrs):
-            pass
+        elif tag not in VOID and not attrs.rstrip().endswith("/") and (unseen or ("hid" in attrs or "none" in attrs) and "hidden" in _marks(attrs, "p")):
+            unseen.append(tag)
     flush()
+    _describe(page)
     return page
 
 
 class Model:
-    """Log-odds of features (a text run's within its kind), and P(child label | parent label) by the child's kind (its first feature)."""
+    """P(child label | parent label) by the child's kind (its first feature), and log-odds of the other features.
+
+    odds weighs a feature for content against boilerplate where the parent is content, away for boilerplate
+    below boilerplate against boilerplate below content.
+    """
+
+    def __init__(self, odds: dict[str, float], away: dict[str, float], pass_on: dict[str, list[list[float]]], prior: float):
+        self.odds, self.away, self.pass_on, self.prior = odds, away, pass_on, prior
+
+    def pair(self, feats: list[str]) -> list[list[float]]:
+        """The potential of a node and its parent: rows are the parent's label, columns the node's."""
+        move = next(t for k in up_from(feats[0]) if (t := self.pass_on.get(k)))
+        on, off = (math.exp(max(-CLIP, min(CLIP, sum(w.get(f, 0.0) for f in feats[1:])))) for w in (self.odds, self.away))
+        return [[move[0][0] * off, move[0][1] * on], [move[1][0], move[1][1] * on]]
 
-    def __init__(self, odds: dict[str, float], pass_on: dict[str, list[list[float]]], prior: float):
-        self.odds, self.pass_on, self.prior = odds, pass_on, prior
 
-    def node(self, feats: list[str]) -> tuple[float, float]:
-        s = max(-CLIP, min(CLIP, sum(self.odds.get(f, 0.0) for f in feats[1:])))
-        p = 1 / (1 + math.exp(-s))
-        return 1 - p, p
+def kind_tag(kind: str) -> str:
+    return kind[2:].partition("@")[0]
 
-    def move(self, feats: list[str]) -> list[list[float]]:
-        return self.pass_on.get(feats[0]) or self.pass_on[feats[0][:2]]
+
+def up_from(kind: str) -> tuple[str, str, str]:
+    """A kind, all of its sort in its context, and all of its sort."""
+    return kind, f"{kind[:2]}@{kind.partition('@')[2]}", kind[:2]
 
 
 def marginals(page: Page, model: Model) -> list[float]:
     """P(content) of every node: one pass of messages up the tree, one down."""
     n = len(page.parent)
-    own = [model.node(f) for f in page.feats]
-    below0, below1 = [x[0] for x in own], [x[1] for x in own]
+    below0, below1 = [1.0] * n, [1.0] * n
     up: list[tuple[float, float]] = [(1.0, 1.0)] * n
+    pairs: list = [None] + [model.pair(f) for f in page.feats[1:]]
     for i in range(n - 1, 0, -1):
-        psi = model.move(page.feats[i])
+        (p00, p01), (p10, p11) = pairs[i]
         b0, b1 = below0[i], below1[i]
-        m0, m1 = psi[0][0] * b0 + psi[0][1] * b1, psi[1][0] * b0 + psi[1][1] * b1
+        m0, m1 = p00 * b0 + p01 * b1, p10 * b0 + p11 * b1
         up[i] = (m0, m1)
         k = page.parent[i]
         c0, c1 = below0[k] * m0, below1[k] * m1
@@ -250,22 +336,25 @@ def marginals(page: Page, model: Model) -> list[float]:
     belief[0] = (below0[0] * (1 - model.prior) / z, below1[0] * model.prior / z)
     out[0] = belief[0][1]
     for i in range(1, n):
-        p0, p1 = belief[page.parent[i]]
+        q0, q1 = belief[page.parent[i]]
         m0, m1 = up[i]
-        d0, d1 = p0 / max(m0, 1e-300), p1 / max(m1, 1e-300)
-        psi = model.move(page.feats[i])
-        b0 = below0[i] * (d0 * psi[0][0] + d1 * psi[1][0])
-        b1 = below1[i] * (d0 * psi[0][1] + d1 * psi[1][1])
+        d0, d1 = q0 / max(m0, 1e-300), q1 / max(m1, 1e-300)
+        (p00, p01), (p10, p11) = pairs[i]
+        b0 = below0[i] * (d0 * p00 + d1 * p10)
+        b1 = below1[i] * (d0 * p01 + d1 * p11)
         z = b0 + b1
         belief[i] = (b0 / z, b1 / z)
         out[i] = belief[i][1]
     return out
 
 
+STATES = ON, OPEN, AWAY = "content", "boilerplate below content", "boilerplate below boilerplate"
+
+
 def train(pages: list[tuple[str, set[str]]]) -> Model:
     """From pages with the set of their content blocks' texts. An element is content if it holds any."""
-    count = {0: Counter(), 1: Counter()}
-    nodes: Counter = Counter()
+    # States: content; boilerplate below content; boilerplate below boilerplate.
+    count, base = {x: Counter() for x in STATES}, {x: Counter() for x in STATES}
     moves: Counter = Counter()
     for source, content in pages:
         page = parse(source)
@@ -275,20 +364,30 @@ def train(pages: list[tuple[str, set[str]]]) -> Model:
                 label[i] = int(page.text[i] in content)
             if label[i] and i:
                 label[page.parent[i]] = 1
-        for i, x in enumerate(label):
-            if not i:
-                continue
-            kind = page.feats[i][0]
-            for k in (kind, kind[:2]):
-                nodes[k, x] += 1
-                moves[k, label[page.parent[i]], x] += 1
+        for i in range(1, len(label)):
+            up = label[page.parent[i]]
+            for k in set(up_from(page.feats[i][0])):
+                moves[k, up, label[i]] += 1
+            x = ON if label[i] else OPEN if up else AWAY
             count[x].update(page.feats[i][1:])
-    odds = {}
-    for f in set(count[0]) | set(count[1]):
-        of = f.split()[0] if " " in f else "t:"
-        rate = [(count[x][f] + PRIOR_WEIGHT) / (nodes[of, x] + 3 * PRIOR_WEIGHT) for x in (0, 1)]
-        if abs(x := math.log(rate[1] / rate[0])) >= WEAK:  # else many weak leaves would outvote the structure
-            odds[f] = x
+            # A mark is weighed against all elements of its sort, having none against all of its tag, and what
+            # an element holds against others in its context.
+            if not page.leaf[i]:
+                tag, _, ctx = page.feats[i][0][2:].partition("@")
+                sort = "p" if tag in TEXTUAL else "g"
+                base[x].update((f"{sort} marks", f"{sort} {ctx} {tag}", "x marks"))
+            base[x].update({b for f in page.feats[i][1:] if (b := f.partition("|")[0]).startswith(("l ", "e "))})
+
+    def weighed(a: str, b: str) -> dict[str, float]:
+        """Log-odds of the features in state a against state b; of leaves only what is strong, for they are many."""
+        out = {}
+        for f in set(count[a]) | set(count[b]):
+            of = f.partition("|")[0]
+            if min(base[a][of], base[b][of]) >= LEAST_SEEN:
+                rate = [(count[x][f] + SMOOTHING) / (base[x][of] + 3 * SMOOTHING) for x in (a, b)]
+                if abs(w := math.log(rate[0] / rate[1])) >= (STRONG if f.startswith("l ") else WEAK):
+                    out[f] = w
+        return out
 
     def table(kind: str, before: list[list[float]], weight: float) -> list[list[float]]:
         """Rates of a kind, drawn towards those of all its like."""
@@ -296,14 +395,15 @@ def train(pages: list[tuple[str, set[str]]]) -> Model:
         return [[c / sum(row) for c in row] for row in n]
 
     pass_on = {k: table(k, [[0.5, 0.5], [0.5, 0.5]], 2 * SMOOTHING) for k in ("t:", "l:")}
-    for kind in {k for k, _, _ in moves} - {"t:", "l:"}:
-        pass_on[kind] = table(kind, pass_on[kind[:2]], PRIOR_WEIGHT)
-    return Model(odds, pass_on, 0.999)
+    for kind in sorted({k for k, _, _ in moves}, key=lambda k: (k[2:3] != "@", k)):
+        if kind not in pass_on:
+            pass_on[kind] = table(kind, pass_on[next(k for k in up_from(kind)[1:] if k in pass_on)], PRIOR_WEIGHT)
+    return Model(weighed(ON, OPEN), weighed(AWAY, OPEN), pass_on, 0.999)
 
 
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[tuple[str, set[str]]]:
-    """Pages of varied templates with their content blocks. Boilerplate regions hold long and short text alike,
-    so that regions are told by their elements and marks rather than by how much they say."""
+    """Pages of varied templates with their content blocks. Boilerplate holds long and short text alike, class
+    names are listed words, others, or none, and content carries misleading ids and some misleading classes."""
     r = random.Random(seed)
     made = 0
 
@@ -311,33 +411,63 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[tuple[s
         nonlocal made
         made += 1
         words = ["".join(r.choice("aeiourstlnmdk") for _ in range(r.randint(2, 8))) for _ in range(r.randint(lo, hi))]
-        return f"{' '.join(words).capitalize()} {made}."
+        return f"{' '.join(words).capitalize()} {made}{r.choice(['.', '.', '.', '!', '?', ''])}"
 
-    def para(tag: str = "p") -> tuple[str, str]:
-        t = say(1, 60) if r.random() < 0.8 else say(1, 3)
-        return f"<{tag}>{t}</{tag}>" if r.random() < 0.8 else f"<{tag}><b>{t}</b><br>", t
+    def other() -> str:
+        return "".join(r.choice("bcdfgjkz") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
 
-    def bare() -> tuple[str, str]:
-        t = say(2, 50)
-        return t, t
+    def anchor() -> str:
+        """An id that may be any word, and now and then a class of no meaning."""
+        x = r.random()
+        return f' id="{r.choice(sorted(GROUP_OF))}"' if x < 0.12 else f' class="{other()}"' if x < 0.2 else f' class="{r.choice(GROUPS["content"].split())}"' if x < 0.24 else ""
 
-    def menu(k: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{say(1, 3)}</a></li>' for i in range(k)) + "</ul>"
+    def para(tag: str = "p") -> tuple[str, str]:
+        t = say(1, 60) if r.random() < 0.8 else say(1, 3)
+        return f"<{tag}{anchor()}>{t}</{tag}>" if r.random() < 0.8 or tag not in ("p", "li", "td") else f"<{tag}><b>{t}</b><br>", t
+
+    def menu(k: int, keep=None) -> str:
+        out = []
+        for i in range(k):
+            t = say(1, 3)
+            if keep:
+                keep((t, t))
+            out.append(f'<a href="/{i}">{t}</a>')
+        shape = r.random()
+        return f"<ul>{''.join(f'<li>{x}</li>' for x in out)}</ul>" if shape < 0.7 or keep else " | ".join(out) if shape < 0.85 else "".join(f"<div>{x}</div>" for x in out)
 
     def prose(k: int) -> str:
         return "".join(para()[0] for _ in range(k))
 
-    def region(kind: str) -> str:
-        mark = r.choice([w for w in GROUPS[kind].split()])
-        mark = r.choice([f'class="{mark}"', f'id="{mark}"', f'class="box {mark}-{r.randint(1, 9)}"', f'class="{mark}_wrap"'])
-        inner = {"nav": lambda: menu(r.randint(2, 9)), "comment": lambda: "".join(f'<div class="comment">{prose(r.randint(1, 3))}</div>' for _ in range(r.randint(1, 5)))}
-        body = inner.get(kind, lambda: r.choice([lambda: say(3, 25), lambda: prose(r.randint(1, 5)), lambda: menu(3), lambda: f"<h3>{say(1, 4)}</h3>{prose(2)}"])())()
-        tags = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "side": ["aside", "div", "section"], "comment": ["section", "div"], "form": ["form", "div"]}
+    def mark(kind: str) -> str:
+        w = r.choice(GROUPS[kind].split())
+        return r.choice([f'class="{w}"', f'id="{w}"', f'class="box {w}-{r.randint(1, 9)}"', f'class="{w}_wrap"', f'class="{other()} {w}"'])
+
+    def inside(kind: str) -> str:
+        if kind == "nav":
+            return menu(r.randint(2, 9))
+        if kind == "comment":
+            each = r.choice(['<div class="comment">{}</div>', "<div><b>{}</b>{}</div>", "<li>{}</li>"])
+            return (f"<h3>{say(1, 2)}</h3>" if r.random() < 0.4 else "") + "".join(each.replace("{}", say(1, 2), each.count("{}") - 1).replace("{}", prose(r.randint(1, 3))) for _ in range(r.randint(1, 5)))
+        if kind == "footer":
+            return r.choice([f"<p>&copy; {say(2, 8)}</p>", menu(r.randint(2, 5)) + say(2, 10), f"<div>{menu(4)}</div><div>{say(3, 20)}</div>"])
+        if kind == "form":
+            return f"<label>{say(1, 2)}</label><input name=q><button>{say(1, 1)}</button>{say(2, 9) if r.random() < 0.5 else ''}"
+        return r.choice([lambda: say(3, 25), lambda: prose(r.randint(1, 5)), lambda: menu(3), lambda: f"<h3>{say(1, 4)}</h3>{prose(2)}"])()
+
+    def region(kind: str, plainly: bool) -> str:
+        """A boilerplate region; `plainly` lets it go without any listed word."""
+        tags = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "side": ["aside", "div", "section"], "comment": ["section", "div", "ol"], "form": ["form", "div"]}
         tag = r.choice(tags.get(kind, ["div", "div", "section", "aside"]))
+        if kind == "hidden":
+            hide = r.choice(["hidden", 'style="display:none"', 'style="color:red; display: none;"', 'aria-hidden="true"', 'class="hidden"'])
+            if r.random() < 0.4:
+                return f"<p {hide}>{say(1, 30)}</p>"
+            return f"<{tag} {hide}>{inside('side')}</{tag}>"
         if tag == "ul":
-            return f"<ul {mark}>{menu(3)[4:-5]}</ul>"
-        plain = tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.6
-        return f"<{tag}{'' if plain else ' ' + mark}>{body}</{tag}>"
+            return f"<ul {mark(kind)}>" + "".join(f'<li><a href="/{i}">{say(1, 3)}</a></li>' for i in range(3)) + "</ul>"
+        x = r.random()
+        how = "" if tag in ("nav", "header", "footer", "aside", "form") and x < 0.6 else f' class="{other()}"' if plainly and x < 0.5 else " " + mark(kind)
+        return f"<{tag}{how}>{inside(kind)}</{tag}>"
 
     pages = []
     for _ in range(n):
@@ -347,42 +477,55 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[tuple[s
             held.add(pair[1])
             return pair[0]
 
-        blocks = [keep(para("h1"))] if r.random() < 0.9 else []
-        for _ in range(r.randint(1, 12)):
+        def block(keep=keep, content=content) -> str:
             x = r.random()
-            if x < 0.66:
-                blocks.append(keep(para()))
-            elif x < 0.73:
-                blocks.append(keep(para(r.choice(["h2", "h3"]))))
-            elif x < 0.88:
+            if x < 0.6:
+                return keep(para())
+            if x < 0.69:
+                return keep(para(r.choice(["h2", "h3"])))
+            if x < 0.79:
                 items = "".join(keep(para("li")) for _ in range(r.randint(1, 5)))
-                blocks.append(f"<ul>{items}</ul>" if r.random() < 0.6 else f"<ol>{items}</ol>")
-            elif x < 0.92:
-                blocks.append(f"<blockquote>{keep(para())}</blockquote>")
-            elif x < 0.95:
+                return f"<ul>{items}</ul>" if r.random() < 0.6 else f"<ol>{items}</ol>"
+            if x < 0.83:
+                return menu(r.randint(2, 6), keep)
+            if x < 0.87:
+                return f"<blockquote>{keep(para())}</blockquote>"
+            if x < 0.9:
                 t = say(8, 30)
                 content.add(f"{t} {t} link")
-                blocks.append(f'<p>{t} <a href="/x">{t} link</a></p>')
-            elif x < 0.96:
-                rows = "".join(f"<tr>{keep(para('td'))}</tr>" for _ in range(2))
-                blocks.append(f"<table>{rows}</table>")
-            elif x < 0.98:
+                return f'<p>{t} <a href="/x">{t} link</a></p>'
+            if x < 0.92:
+                return f"<table>{''.join('<tr>' + keep(para('td')) + '</tr>' for _ in range(2))}</table>"
+            if x < 0.95:
                 tag = r.choice(["div", "div", "section", "pre", "figcaption"])
-                blocks.append(f"<{tag}>{keep(para('p')) if r.random() < 0.4 else keep(bare())}</{tag}>")
-            else:
-                blocks.append(f"<section>{keep(para('h2'))}{keep(para())}{keep(para())}</section>")
-        if r.random() < 0.25:
-            blocks.insert(r.randint(0, len(blocks)), region(r.choice(["ad", "share", "notice", "side", "form"])))
-        if r.random() < 0.2:
-            blocks.append(region("comment"))
+                t = say(2, 50)
+                return f"<{tag}>{keep(para('p')) if r.random() < 0.4 else keep((t, t))}</{tag}>"
+            how = r.choice(["", f' class="{other()}"', ' class="text more"', f' class="{r.choice(GROUPS["content"].split())} {r.choice(sorted(GROUP_OF))}"'])
+            tag = r.choice(["section", "div"])
+            return f"<{tag}{how}>{keep(para('h2'))}{keep(para())}{keep(para())}</{tag}>"
+
         wrap = r.choice(
             ["<article>{}</article>"] * 5
-            + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><article>{}</article></div>', '<section class="post">{}</section>', "<div>{}</div>", '<article class="entry">{}</article>']
+            + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><article>{}</article></div>', '<section class="post">{}</section>', "<div>{}</div>", '<article class="entry">{}</article>', '<div class="col"><div class="inner">{}</div></div>', '<article class="news {}">{{}}</article>'.format(other())]
         )
-        before = [region(k) for k in ("header", "nav", "ad", "notice", "form") if r.random() < 0.45]
-        after = [region(k) for k in ("side", "share", "comment", "ad", "notice", "nav", "footer") if r.random() < 0.4]
+        semantic = "<article" in wrap or "<main" in wrap
+        blocks = [keep(para("h1"))] if r.random() < 0.9 else []
+        blocks += [block() for _ in range(r.randint(1, 12) if semantic else r.randint(3, 14))]
+        for kind, often in (("ad", 0.07), ("share", 0.07), ("notice", 0.05), ("side", 0.07), ("form", 0.05), ("hidden", 0.08)):
+            if r.random() < often:
+                blocks.insert(r.randint(0, len(blocks)), region(kind, False))
+        if r.random() < 0.1:
+            blocks.append(f'<p class="{r.choice(["share", "social", "advert", "sponsored", "copyright"])}">{say(2, 9)}</p>')
+        if r.random() < 0.2:
+            blocks.append(region("comment", False))
+        # Without an article element, prose in a box of no name could be either: only menus and footers go unnamed.
+        before = [region(k, semantic or k == "nav") for k in ("header", "nav", "ad", "notice", "form", "hidden") if r.random() < (0.45 if k != "hidden" else 0.1)]
+        after = [region(k, semantic or k in ("nav", "footer")) for k in ("side", "share", "comment", "ad", "notice", "nav", "footer", "hidden") if r.random() < (0.4 if k != "hidden" else 0.1)]
         r.shuffle(before)
-        source = f"<html><head><title>{say(2, 5)}</title></head><body>{''.join(before)}{wrap.format(''.join(blocks))}{''.join(after)}</body></html>"
+        body = f"{''.join(before)}{wrap.format(''.join(blocks))}{''.join(after)}"
+        if r.random() < 0.3:
+            body = f'<div class="{r.choice(["container", "wrapper", other(), "page"])}">{body}</div>'
+        source = f"<html><head><title>{say(2, 5)}</title></head><body>{body}</body></html>"
         pages.append((source, content))
     return pages
 
