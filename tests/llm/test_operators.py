@@ -361,6 +361,45 @@ def test_top_k_repeated_ids(spark):
     assert got == sorted(2 * [(k + 1, 8 - k) for k in range(5)] + [(k + 1, 1 + k) for k in range(5)])
 
 
+def test_top_k_large_values(spark, monkeypatch):
+    """Vectors beyond what doubles hold exactly, and nearly equal ones."""
+    monkeypatch.setattr(mtree, "PAGE", 4)
+    monkeypatch.setattr(mtree, "SLICE", 20)
+    r = np.random.default_rng(7)
+    check_top(spark, [(i, [float(np.float32(x)) for x in 1e6 + r.normal(0, 1e3, 4)]) for i in range(120)])
+    check_top(spark, [(i, [float(np.float32(x)) for x in 3e4 + r.integers(0, 3, 5) / 256]) for i in range(120)])
+
+
+def test_top_k_rules_slices_out(spark, monkeypatch):
+    """Queries visit few slices where vectors lie in clusters; trees are built once; one common vector is cut by id."""
+    monkeypatch.setattr(mtree, "PAGE", 8)
+    monkeypatch.setattr(mtree, "SLICE", 40)
+    r = np.random.default_rng(9)
+    centres = r.normal(0, 1, (12, 8))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, [float(np.float32(x)) for x in 3 * centres[i % 12] + r.normal(0, 0.02, 8)]) for i in range(1200)]
+    same = [float(np.float32(x)) for x in 3 * centres[0]]
+    rows += [(5000 + i, same) for i in range(600)]
+    check_top(spark, rows)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    from pyspark.sql import functions as F
+
+    ws = Workspace(spark)
+    index = mtree.Index(ws, ws.save(mtree.quantised(df).withColumn("query_row", F.monotonically_increasing_id())))
+    slices = index.trees.count()
+    assert slices > 20 and index.trees.agg(F.sum("n")).first()[0] == 1800 and index.trees.agg(F.max("n")).first()[0] < 200
+    best = {q: x[-1] for q, x in brute_top(rows).items()}
+    asked = spark.createDataFrame([(i, q, [math.floor(256 * x) for x in dict(rows)[q]], s, v) for i, (q, (_, v, s)) in enumerate(best.items())], "query_row bigint, query_id bigint, v array<bigint>, score bigint, vec_id bigint")
+    assert index.visits(asked, True).count() == len(best)
+    assert index.visits(asked, False).count() < 0.2 * len(best) * slices
+    # Within a slice, pages are ruled out.
+    v = np.array([[math.floor(256 * x) for x in e] for _, e in rows[:1200]])
+    tree = mtree.MTree(np.arange(1200), v, float((v * v).sum(1).max()))
+    for q in range(0, 1200, 50):
+        tree.search(q, v[q], 5)
+    assert tree.scored < 0.4 * 24 * 1200
+
+
 # 6. Secret scans
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
