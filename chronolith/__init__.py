@@ -1,3 +1,4 @@
 """A versioned, ordered key-value engine whose every read is a Spark plan."""
 
-__version__ = "0.1.0"
+VERSION = (0, 2, 0)
+__version__ = ".".join(map(str, VERSION))

@@ -1,10 +1,9 @@
-"""python -m chronolith sweep | differential | amplification [--seed N] [--ops N] [--dir PATH]"""
+"""python -m chronolith sweep | differential | amplification [--seed N] [--ops N] [--regime NAME] [--dir PATH]"""
 
 from __future__ import annotations
 
 import argparse
 import collections
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -12,23 +11,24 @@ from .caps import Caps
 from .operators import metrics
 from .operators.checks import Outcome, judge_recovery
 from .plans import artifact, workload
+from .sources.files import scratch_dir
 from .sources.store import Store, WriteBatch
 
 
-def sweep(spark: SparkSession, root: str, seed: int, ops: int) -> int:
-    """Kills a workload at every file operation and prints a census of outcomes."""
+def sweep(spark: SparkSession, root: str, seed: int, ops: int, regime: str = "default") -> int:
+    """Fails a workload at every file operation in every way and prints a census of outcomes by kind of call."""
     groups: list[list] = [[]]
     for step in workload.batches_of(workload.random_ops(seed, ops)):
         if step[0] == "write":
             groups[-1].append(step[1])
         elif step[0] == "sync" and groups[-1]:
             groups.append([])
-    found = workload.crash_sweep(spark, root, [g for g in groups if g][:2])
-    for (when, outcome), n in sorted(collections.Counter((w, o.value) for w, _, o, _ in found).items()):
-        print(f"killed {when}: {n} {outcome}")
-    bad = [x for x in found if x[2] is not Outcome.PASS]
-    for when, at, outcome, why in bad:
-        print(f"  {when} {at}: {outcome.value}, {why}")
+    found = workload.crash_sweep(spark, root, [g for g in groups if g], modes=(*workload.MODES, *workload.REFUSALS), regime=regime)
+    for (when, call, outcome), n in sorted(collections.Counter((w, c, o.value) for w, c, _, o, _ in found).items()):
+        print(f"{when}, {call}: {n} {outcome}")
+    bad = [x for x in found if x[3] is not Outcome.PASS]
+    for when, call, at, outcome, why in bad:
+        print(f"  {when} {call} {at}: {outcome.value}, {why}")
     return int(bool(bad))
 
 
@@ -49,7 +49,9 @@ def differential(spark: SparkSession, root: str, seed: int, ops: int) -> int:
             elif held:
                 held.pop(0).close()
     store.close()
-    recovered = workload.state_of(Store.open(spark, f"{root}/store"))
+    again = Store.open(spark, f"{root}/store")
+    recovered = workload.state_of(again)
+    again.close()
     verdict, _ = judge_recovery(batches, done, None, False, done, recovered)
     print(artifact.encode(seed, steps, done, recovered, verdict.value))
     return int(not verdict.counts())
@@ -73,11 +75,14 @@ def main() -> int:
     args.add_argument("command", choices=("sweep", "differential", "amplification"))
     args.add_argument("--seed", type=int, default=42)
     args.add_argument("--ops", type=int, default=200)
+    args.add_argument("--regime", choices=sorted(workload.REGIMES), default="default")
     args.add_argument("--dir")
     a = args.parse_args()
     spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
-    run = {"sweep": sweep, "differential": differential, "amplification": amplification}[a.command]
-    return run(spark, a.dir or tempfile.mkdtemp(prefix="chronolith-"), a.seed, a.ops)
+    root = a.dir or scratch_dir(spark)
+    if a.command == "sweep":
+        return sweep(spark, root, a.seed, a.ops, a.regime)
+    return {"differential": differential, "amplification": amplification}[a.command](spark, root, a.seed, a.ops)
 
 
 if __name__ == "__main__":

@@ -58,3 +58,13 @@ def batch_bytes(ops: DataFrame) -> DataFrame:
     """(seq, n_ops, record_bytes) of each batch, charged on the operations as submitted."""
     b = op_bytes(F.col("kind"), F.col("k"), F.col("v"), F.col("lo"), F.col("hi"))
     return ops.groupBy("seq").agg(F.count("*").alias("n_ops"), (F.sum(b) + RECORD_HEAD).alias("record_bytes"))
+
+
+def group_facts(ops: DataFrame, *by: str) -> DataFrame:
+    """Of groups of batches that become durable together: the sequence made durable, the batches and operations,
+    and the bytes of the largest record and of all. Without `by` there is one group."""
+    b = op_bytes(F.col("kind"), F.col("k"), F.col("v"), F.col("lo"), F.col("hi"))
+    each = ops.groupBy(*by, "seq").agg(F.count("*").alias("n"), (F.sum(b) + RECORD_HEAD).alias("record_bytes"))
+    return each.groupBy(*by).agg(
+        F.max("seq").alias("durable_seq"), F.count("*").alias("n_batches"), F.sum("n").alias("n_ops"), F.max("record_bytes").alias("largest"), F.sum("record_bytes").alias("size")
+    )

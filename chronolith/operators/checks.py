@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -126,6 +126,42 @@ def range_faults(ranges: DataFrame) -> DataFrame:
     return _count_faults(ranges, rules, twice)
 
 
+def order_faults(segment: DataFrame, key: str, newest_first: bool = True) -> DataFrame:
+    """(fault, n): rows of a segment's files that do not follow the row before, by key and then newest first."""
+    in_file = Window.partitionBy("file").orderBy("row")
+    place = segment.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(key).alias("key"), "seq")
+    back = place.select("key", "seq", F.lag("key").over(in_file).alias("k0"), F.lag("seq").over(in_file).alias("s0"))
+    bad = F.col("k0") > F.col("key")
+    if newest_first:
+        bad = bad | ((F.col("k0") == F.col("key")) & (F.col("s0") <= F.col("seq")))
+    return back.where(bad).groupBy(F.lit("keys not ascending").alias("fault")).agg(F.count("*").alias("n"))
+
+
+def segment_faults(files, path: str, segment, schema: str) -> list[str]:
+    """All that is wrong with a stored segment, against its own rules and the facts in the log; none if sound."""
+    spark, key = files.spark, "k" if segment.kind == "versions" else "lo"
+    if not files.exists(path):
+        return ["missing"]
+    out = [] if files.size(path) == segment.bytes else ["size"]
+    try:
+        found = spark.read.option("recursiveFileLookup", "true").parquet(path)
+        kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+        if kinds != dict(c.strip().split() for c in schema.split(",")):
+            return [*out, "schema"]
+        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        rules = version_faults(rows) if key == "k" else range_faults(rows)
+        order = order_faults(rows, key, newest_first=key == "k")
+        out += sorted(r["fault"] for r in rules.unionByName(order).collect())
+        ends = F.max("k") if key == "k" else F.max("hi")
+        got = rows.agg(F.count("*").alias("n"), F.hex(F.min(key)).alias("lo"), F.hex(ends).alias("hi"), F.max("seq").alias("seq")).first()
+    except Exception as e:
+        return [*out, f"unreadable: {type(e).__name__}"]
+    if not got["n"]:
+        out.append("empty")
+    facts = {"rows": (got["n"], segment.rows), "least key": (got["lo"], segment.min_key), "greatest key": (got["hi"], segment.max_key), "greatest sequence": (got["seq"], segment.max_seq)}
+    return out + [name for name, (a, b) in facts.items() if a != b]
+
+
 def _count_faults(rows: DataFrame, rules: dict, more: DataFrame) -> DataFrame:
     broken = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]), lambda x: x.isNotNull())
     return rows.select(F.explode(broken).alias("fault")).unionByName(more).groupBy("fault").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resolve import resolve
+from .resolve import cover
 
 
 def observable(snapshots: list[int], current: int) -> list[int]:
@@ -20,23 +20,34 @@ def observable(snapshots: list[int], current: int) -> list[int]:
     return sorted({*snapshots, current})
 
 
-def required(versions: DataFrame, ranges: DataFrame, sequences: list[int]) -> DataFrame:
-    """(k, seq) of the values that some observable sequence returns."""
-    views = [resolve(versions, ranges, s).select("k", "seq") for s in sequences]
-    return reduce(DataFrame.unionByName, views).distinct()
+def required(versions: DataFrame, ranges: DataFrame, sequences: list[int], few_ranges: bool | None = None) -> DataFrame:
+    """(k, seq) of the values that some observable sequence returns, in one pass over the versions.
 
+    A version can be returned only at the first observable sequence at or above it, or later ones up to its
+    successor. So of the versions of a key that share that first sequence only the newest counts, and a range
+    hides it for good if it does so there.
+    """
+    known = sorted(sequences)
+    first = F.element_at(F.filter(F.array(*[F.lit(s).cast("long") for s in known]), lambda s: s >= F.col("seq")), 1)
+    top = versions.where(F.col("seq") <= known[-1]).withColumn("at", first)
+    top = top.groupBy("k", "at").agg(F.max_by(F.struct("seq", "vt"), "seq").alias("top")).select("k", "at", "top.seq", "top.vt").where("vt = 1")
+    shown = [cover(top.where(F.col("at") == s), ranges.where(F.col("seq") <= s), few=few_ranges).where("c <= seq").select("k", "seq") for s in known]
+    return reduce(DataFrame.unionByName, shown)
 
-def labelled(versions: DataFrame, ranges: DataFrame, sequences: list[int], bottom_most: bool = True) -> DataFrame:
+
+def labelled(versions: DataFrame, ranges: DataFrame, sequences: list[int], bottom_most: bool = True, few_ranges: bool | None = None) -> DataFrame:
     """Versions with a column keep."""
-    need = required(versions, ranges, sequences).select(F.col("k").alias("k_"), F.col("seq").alias("s_"), F.lit(True).alias("needed"))
+    need = required(versions, ranges, sequences, few_ranges).select(F.col("k").alias("k_"), F.col("seq").alias("s_"), F.lit(True).alias("needed"))
     j = versions.join(need, (F.col("k") == F.col("k_")) & (F.col("seq") == F.col("s_")), "left")
     deletion = F.lit(True) if not bottom_most else F.col("seq") > F.lit(min(sequences))
-    keep = F.when(F.col("vt") == 1, F.col("needed").isNotNull()).otherwise(deletion)
+    # A version above all observable sequences is pending work, not garbage.
+    late = F.col("seq") > F.lit(max(sequences))
+    keep = F.when(F.col("vt") == 1, F.col("needed").isNotNull() | late).otherwise(deletion)
     return j.select(*versions.columns, keep.alias("keep"))
 
 
-def kept(versions: DataFrame, ranges: DataFrame, sequences: list[int], bottom_most: bool = True) -> DataFrame:
-    return labelled(versions, ranges, sequences, bottom_most).where("keep").drop("keep")
+def kept(versions: DataFrame, ranges: DataFrame, sequences: list[int], bottom_most: bool = True, few_ranges: bool | None = None) -> DataFrame:
+    return labelled(versions, ranges, sequences, bottom_most, few_ranges).where("keep").drop("keep")
 
 
 def dropped(versions: DataFrame, ranges: DataFrame, sequences: list[int], bottom_most: bool = True) -> DataFrame:

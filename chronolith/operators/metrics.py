@@ -13,24 +13,28 @@ def segment_facts(versions: DataFrame, segment: str) -> DataFrame:
     )
 
 
-def overlaps(segments: DataFrame, name: str) -> DataFrame:
-    """(a, b): pairs of segments whose key bounds overlap; segments are manifest rows, few by nature."""
-    a = segments.select(F.col(name).alias("a"), F.col("min_k").alias("a_lo"), F.col("max_k").alias("a_hi"))
-    b = segments.select(F.col(name).alias("b"), F.col("min_k").alias("b_lo"), F.col("max_k").alias("b_hi"))
-    return a.join(b, (F.col("a") < F.col("b")) & (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))).select("a", "b")
+def read_amplification(store, keys: DataFrame) -> float:
+    """Segments whose key bounds hold a present key, on average over the keys (column k) that are present: those
+    that a point lookup consults."""
+    segments = [s for s in store._manifest.segments if s.kind == "versions" and s.rows]
+    within = [((F.col("k") >= F.lit(bytes.fromhex(s.min_key))) & (F.col("k") <= F.lit(bytes.fromhex(s.max_key)))).cast("int") for s in segments]
+    if not within:
+        return 0.0
+    present = store.multi_get(keys).where("found").select(sum(within[1:], within[0]).alias("n"))
+    return float(present.agg(F.avg("n")).first()[0] or 0.0)
 
 
 def amplification(store) -> dict[str, float]:
-    """Space (disk over live bytes), write (written over submitted) and read (segments a present key is looked for in)."""
+    """Space (disk over live bytes), write (written over submitted), read as it is measured over all live keys, and
+    the number of segments that may overlap (the most that a read consults)."""
     m = store._manifest
     live = store.approximate_bytes()
-    disk = sum(s.bytes for s in m.segments)
     versions = [s for s in m.segments if s.kind == "versions"]
-    l0 = sum(s.level == 0 for s in versions)
     return {
-        "space": disk / live if live else 0.0,
+        "space": sum(s.bytes for s in m.segments) / live if live else 0.0,
         "write": store.bytes_written / store.bytes_submitted if store.bytes_submitted else 0.0,
-        "read": float(l0 + any(s.level == 1 for s in versions)),
+        "read": read_amplification(store, store.view().frame().select("k")),
+        "depth": float(sum(s.level != 1 for s in versions) + any(s.level == 1 for s in versions)),
     }
 
 

@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..caps import Caps
 from ..operators import batch, compaction, metrics, resolve
+from ..sources import log
+from ..sources.files import Files, scratch_dir
+from ..sources.store import Store
+from ..status import Status
 from .logs import EVENT_SQL, ORDER_SQL, event_ops, order_ops, view_sql
 
 #: Bounds and keys that the queries use.
@@ -149,12 +154,12 @@ def kv_range_delete_visible(spark, sf_dir):
     return resolve.resolve(versions, ranges.unionByName(more))
 
 
-@query(" select count(*) as n_visible from v where false")
+@query(f", r2 as (select lo, hi, seq from r union all select '', null, {TOP} + 1), n as (select * from v qualify row_number() over (partition by k order by seq desc) = 1) select count(*) as n_visible from n where vt = 1 and not exists (select 1 from r2 where r2.seq > n.seq and r2.lo <= n.k and (r2.hi is null or n.k < r2.hi))")
 def kv_clear_all(spark, sf_dir):
-    versions, _ = _log(spark, sf_dir)
+    versions, ranges = _log(spark, sf_dir)
     none = F.lit(None).cast("string")
     every = spark.range(1).select(F.lit("").alias("lo"), none.alias("hi"), F.lit(_top(spark, sf_dir) + 1).cast("bigint").alias("seq"))
-    return resolve.resolve(versions, every).agg(F.count("*").alias("n_visible"))
+    return resolve.resolve(versions, ranges.unionByName(every)).agg(F.count("*").alias("n_visible"))
 
 
 @query(f",{view_sql('a')} select count(*) as n_keys, coalesce(sum(length(k) + length(v)), 0)::bigint as live_bytes from a")
@@ -162,14 +167,8 @@ def kv_live_bytes(spark, sf_dir):
     return resolve.live_bytes(resolve.resolve(*_log(spark, sf_dir)))
 
 
-@query(f" select k, seq, vt, v, row_number() over (partition by k order by seq desc) - 1 as age from v where k >= '{LO}' and k < '{HI}'")
-def kv_version_history(spark, sf_dir):
-    h = resolve.history(_log(spark, sf_dir)[0], LO, HI)
-    return h.withColumn("vt", F.col("vt").cast("int")).withColumn("age", F.col("age").cast("bigint"))
-
-
 @query(" select k, seq, vt, v, row_number() over (partition by k order by seq desc) - 1 as age from v")
-def kv_version_history_all(spark, sf_dir):
+def kv_version_history(spark, sf_dir):
     h = resolve.history(_log(spark, sf_dir)[0])
     return h.withColumn("vt", F.col("vt").cast("int")).withColumn("age", F.col("age").cast("bigint"))
 
@@ -221,13 +220,17 @@ def kv_flush_segments(spark, sf_dir):
 
 @query(f"{_SEG} select x.segment as a, y.segment as b from seg x join seg y on x.segment < y.segment and x.min_k <= y.max_k and y.min_k <= x.max_k")
 def kv_level_overlap(spark, sf_dir):
-    return metrics.overlaps(_segments(spark, sf_dir), "segment")
+    """Pairs of segments whose bounds meet, by the rule with which a compaction chooses its inputs."""
+    facts = log.facts(_log(spark, sf_dir)[0].withColumn("segment", F.expr(f"(seq - 1) div {FLUSH}")), "versions", "segment")
+    segments = sorted((int(name), log.Segment(name, "versions", log.FLUSHED, **f, bytes=0)) for name, f in facts.items())
+    pairs = [(a, b) for i, (a, x) in enumerate(segments) for b, y in segments[i + 1 :] if x.overlaps(y)]
+    return spark.createDataFrame(pairs, "a bigint, b bigint")
 
 
 @query(f" select (seq - 1) // {GROUP} as grp, max(seq) as durable_seq, count(distinct seq) as n_batches, count(*) as n_ops from ops group by 1")
 def kv_group_watermark(spark, sf_dir):
     ops = event_ops(spark, sf_dir).withColumn("grp", F.expr(f"(seq - 1) div {GROUP}"))
-    return ops.groupBy("grp").agg(F.max("seq").alias("durable_seq"), F.countDistinct("seq").alias("n_batches"), F.count("*").alias("n_ops"))
+    return batch.group_facts(ops, "grp").select("grp", "durable_seq", "n_batches", "n_ops")
 
 
 _CLOSED = f"(select (max(event_id) // 4 + 1) // {GROUP} * {GROUP} from events)"
@@ -235,16 +238,28 @@ _CLOSED = f"(select (max(event_id) // 4 + 1) // {GROUP} * {GROUP} from events)"
 
 @query(f",{view_sql('a', _CLOSED)} select k, seq, v from a")
 def kv_recovered_state(spark, sf_dir):
-    return resolve.resolve(*_log(spark, sf_dir), _top(spark, sf_dir) // GROUP * GROUP)
-
-
-@query(f", b as (select seq, sum({_BYTES})::bigint + 13 as record_bytes from ops group by seq), o as (select *, sum(record_bytes) over (partition by (seq - 1) // {GROUP} order by seq)::bigint as owed from b) select seq, record_bytes, owed, record_bytes > {RECORD_LIMIT} as too_large, owed > {BUSY_LIMIT} as busy from o")
+    """The whole groups of the log are written to a store and synced, the rest is written only; then it is opened anew."""
+    path, ops = scratch_dir(spark), event_ops(spark, sf_dir)
+    closed = _top(spark, sf_dir) // GROUP * GROUP
+    gib = 1 << 30
+    store = Store.open(spark, path, Caps(gib, 2 * gib, 0, 0))
+    store.write_log(ops.where(F.col("seq") <= closed))
+    store.sync()
+    store.write_log(ops.where(F.col("seq") > closed).withColumn("seq", F.col("seq") - closed))
+    store.close()
+    view = Store.open(spark, path, read_only=True).view().frame()
+    Files(spark).delete_on_exit(path)
+    return view.select(F.col("k").cast("string").alias("k"), "seq", F.col("v").cast("string").alias("v"))
+
+
+@query(f", b as (select seq, sum({_BYTES})::bigint + 13 as record_bytes from ops group by seq), o as (select *, sum(record_bytes) over (partition by (seq - 1) // {GROUP} order by seq)::bigint as owed from b) select seq, record_bytes, owed, record_bytes > {RECORD_LIMIT} as too_large, record_bytes <= {RECORD_LIMIT} and owed > {BUSY_LIMIT} as busy from o")
 def kv_backpressure(spark, sf_dir):
-    """Bytes owed since the last sync of the batch's group, against the limits."""
+    """What each batch meets, given the bytes written since the last sync of its group."""
     b = batch.batch_bytes(event_ops(spark, sf_dir))
     since = Window.partitionBy(F.expr(f"(seq - 1) div {GROUP}")).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    owed = F.sum("record_bytes").over(since)
-    return b.select("seq", "record_bytes", owed.alias("owed")).select("*", (F.col("record_bytes") > RECORD_LIMIT).alias("too_large"), (F.col("owed") > BUSY_LIMIT).alias("busy"))
+    b = b.select("seq", "record_bytes", F.sum("record_bytes").over(since).alias("owed"))
+    met = Caps(RECORD_LIMIT, 1 << 40, 0, BUSY_LIMIT).refusal(F.col("record_bytes"), F.col("owed") - F.col("record_bytes"))
+    return b.select("*", (met == int(Status.RECORD_TOO_LARGE)).alias("too_large"), (met == int(Status.BUSY)).alias("busy"))
 
 
 @query(f",{view_sql('a')} select k, seq, v from a", ORDER_SQL)

@@ -13,7 +13,7 @@ from ..sources.store import Store
 
 def apply_batch(store: Store, ops: DataFrame, batch_id: int) -> int:
     """Applies a micro-batch of operations (ord, kind, k, v, lo, hi) once; returns the durable sequence."""
-    if batch_id in store._manifest.batch_ids:
+    if store._manifest.has_batch(batch_id):
         return store.durable_seq()
     store.write_frame(ops)
     return store.sync(batch_id)

@@ -21,6 +21,14 @@ def state(s):
     return workload.state_of(s)
 
 
+def read(spark, path):
+    """What another opener reads beside the writer."""
+    s = Store.open(spark, path, read_only=True)
+    out = state(s)
+    s.close()
+    return out
+
+
 def test_write_sync_reopen(spark, tmp_path):
     path = str(tmp_path / "s")
     s = Store.open(spark, path)
@@ -32,11 +40,11 @@ def test_write_sync_reopen(spark, tmp_path):
     with pytest.raises(StoreError) as e:
         s.put(b"a", b"2")
     assert e.value.status is Status.INVALID_ARGUMENT
-    t = Store.open(spark, path)
+    t = Store.open(spark, path)  # the lock is let go
     assert t.durable_seq() == 3 and state(t) == {b"a": b"1", b"": b""}
     t.write(WriteBatch().delete_range(b"a", b"z").set(b"a", b"2"))
     t.sync()
-    assert state(Store.open(spark, path)) == {b"": b"", b"a": b"2"}
+    assert read(spark, path) == {b"": b"", b"a": b"2"}
 
 
 def test_snapshot_survives_compaction(spark, tmp_path):
@@ -56,11 +64,11 @@ def test_snapshot_survives_compaction(spark, tmp_path):
         assert s.observable() == [1, 4]
     s.compact()
     assert s.view().versions().count() == 1 and s.view().ranges().count() == 0
-    assert state(Store.open(spark, s.path)) == {b"c": b"3"}
+    assert read(spark, s.path) == {b"c": b"3"}
 
 
 def test_compaction_trigger_and_unbounded_range(spark, tmp_path):
-    s = Store.open(spark, str(tmp_path / "s"))
+    s = Store.open(spark, str(tmp_path / "s"), Caps(flush_bytes=1))
     s.write(workload.apply_ops(WriteBatch(), [("S", b"k%03d" % i, b"v", None, None) for i in range(300)]))
     s.sync()
     s.compact()
@@ -128,7 +136,10 @@ def test_commit_log_faults(spark, tmp_path):
     text = open(last).read()
     os.remove(f"{path}/commits/.{commits[-1]}.crc") if os.path.exists(f"{path}/commits/.{commits[-1]}.crc") else None
     open(last, "w").write(text[: len(text) // 2])
-    assert sorted(state(Store.open(spark, path))) == [b"k0", b"k1"]
+    s.close()
+    t = Store.open(spark, path)
+    assert sorted(state(t)) == [b"k0", b"k1"]
+    t.close()
     first = f"{path}/commits/{commits[0]}"
     body = json.loads(open(first).read())
     body["body"]["add"][0]["rows"] += 1
@@ -144,9 +155,21 @@ def test_commit_log_faults(spark, tmp_path):
 
 
 def test_crash_sweep(spark, tmp_path):
-    groups = [[[("S", b"a", b"1", None, None)], [("S", b"b", b"2", None, None)]], [[("D", b"a", None, None, None), ("S", b"c", b"3", None, None)]]]
+    groups = [[[("S", b"a", b"1", None, None)], [("D", b"a", None, None, None), ("S", b"c", b"3", None, None)]]]
     found = workload.crash_sweep(spark, str(tmp_path), groups)
-    assert len(found) > 15 and [x for x in found if x[2] is not Outcome.PASS] == []
+    assert len(found) > 15 and [x for x in found if x[3] is not Outcome.PASS] == []
+    assert {x[0] for x in found} == set(workload.MODES) and {"write_new", "rename_new", "write_frame"} <= {x[1] for x in found}
+
+
+def test_crash_sweep_compaction(spark, tmp_path):
+    """Every fourth sync compacts: each of its operations is killed, and refused."""
+    groups = [[[("S", b"k%d" % i, b"v%d" % i, None, None)]] for i in range(3)] + [[[("R", None, None, b"k1", b"k2")], [("S", b"z", b"1", None, None)]]]
+    counted = workload.FaultyFiles(spark)
+    workload._run(spark, str(tmp_path / "c"), groups, counted, workload.REGIMES["compact"])
+    last = [i for i, c in enumerate(counted.calls) if c == "rename_new"][-2]
+    found = workload.crash_sweep(spark, str(tmp_path), groups, range(last, len(counted.calls)), ("before",), "compact")
+    found += workload.crash_sweep(spark, str(tmp_path / "r"), groups, range(last, last + 2), ("refused",), "compact")
+    assert len(found) >= 7 and [x for x in found if x[3] is not Outcome.PASS] == []
 
 
 def test_random_workload(spark, tmp_path):
@@ -158,7 +181,7 @@ def test_random_workload(spark, tmp_path):
             s.sync()
     assert state(s) == fold(batches)
     s.sync()
-    assert state(Store.open(spark, s.path)) == fold(batches)
+    assert read(spark, s.path) == fold(batches)
 
 
 def test_artifact(spark, tmp_path, capsys):
@@ -210,6 +233,7 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     s = Store.open(spark, str(tmp_path / "s"))
     ops = spark.createDataFrame([(0, "S", b"a", b"1", None, None)], "ord bigint, kind string, k binary, v binary, lo binary, hi binary")
     assert ingest.apply_batch(s, ops, 0) == 1 and ingest.apply_batch(s, ops, 0) == 1
+    s.close()
     t = Store.open(spark, s.path)
     assert ingest.apply_batch(t, ops, 0) == 1 and state(t) == {b"a": b"1"}
     ops.write.parquet(str(tmp_path / "in"))
@@ -235,3 +259,289 @@ def test_judges(spark):
     assert not Outcome.VOID.counts() and Outcome.PASS.counts()
     with pytest.raises(ValueError):
         checks.one_regime(spark.createDataFrame([("x",), ("y",)], "regime string"))
+
+
+# Readers and writers of one store
+
+
+def test_readers_keep_their_files(spark, tmp_path):
+    """Frames, views and cursors taken before compactions read on after them."""
+    s = Store.open(spark, str(tmp_path / "s"), Caps(flush_bytes=1))
+    for i in range(3):
+        s.put(b"k%d" % i, b"old")
+        s.sync()
+    scan, view, cursor = s.scan(), s.view(), s.cursor()
+    frame = view.frame().select("k")
+    assert cursor.first() and cursor.key == b"k0"
+    before = {x.name for x in s._manifest.segments}
+    for i in range(8):
+        s.delete(b"k%d" % (i % 3))
+        s.put(b"n%d" % i, b"new")
+        s.sync()
+    assert not before & {x.name for x in s._manifest.segments}
+    assert [bytes(r["k"]) for r in scan.collect()] == [b"k0", b"k1", b"k2"] == sorted(bytes(r["k"]) for r in frame.collect())
+    cursor._page = 1
+    assert [k for k, _ in cursor.block(9)] == [b"k0", b"k1", b"k2"] and cursor.error is Status.OK
+    cursor.close()
+    with pytest.raises(StoreError):
+        cursor.first()
+    # Without readers, what was removed long enough ago goes.
+    kept = len(os.listdir(f"{s.path}/segments"))
+    scan = view = frame = cursor = None
+    for i in range(12):
+        s.put(b"m%d" % i, b"x")
+        s.sync()
+    names = set(os.listdir(f"{s.path}/segments"))
+    assert not before & names and kept and state(s)[b"m3"] == b"x"
+
+
+def test_two_writers(spark, tmp_path):
+    """A second writer is refused while the first is open, and may take over from one that is gone."""
+    path = str(tmp_path / "s")
+    s = Store.open(spark, path)
+    s.put(b"a", b"1")
+    s.sync()
+    with pytest.raises(StoreError) as e:
+        Store.open(spark, path)
+    assert e.value.status is Status.BUSY
+    reader = Store.open(spark, path, read_only=True)
+    assert state(reader) == {b"a": b"1"}
+    with pytest.raises(StoreError):
+        reader.put(b"b", b"2")
+    s.put(b"b", b"2")
+    s.sync()
+    assert state(s) == {b"a": b"1", b"b": b"2"} and state(reader) == {b"a": b"1"}
+    reader.close()
+    t = Store.open(spark, path, take_over=True)
+    t.put(b"c", b"3")
+    t.sync()
+    s.put(b"d", b"4")
+    with pytest.raises(StoreError) as e:
+        s.sync()
+    assert e.value.status is Status.IO_ERROR and state(t) == {b"a": b"1", b"b": b"2", b"c": b"3"}
+    s.close()  # leaves the other's lock alone
+    with pytest.raises(StoreError):
+        Store.open(spark, path)
+    t.close()
+    Store.open(spark, path).close()
+
+
+def test_lease_of_another_opener(spark, tmp_path):
+    """A snapshot in a reader of its own keeps its versions and files through the writer's compactions."""
+    path = str(tmp_path / "s")
+    s = Store.open(spark, path, Caps(flush_bytes=1))
+    s.put(b"a", b"1")
+    s.sync()
+    reader = Store.open(spark, path, read_only=True)
+    snap = reader.snapshot()
+    for i in range(2 * 8):
+        s.put(b"a", b"%d" % (i + 2))
+        s.sync()
+    assert s.observable() == [1, 17] and snap.get(b"a") == b"1" and s.get(b"a") == b"17"
+    snap.close()
+    reader.close()
+    s.compact()
+    assert s.observable() == [17] and s.view().versions().count() == 1
+
+
+def test_write_frame_is_admitted(spark, tmp_path):
+    """A frame is charged like a batch, refused like one, and read once."""
+    s = Store.open(spark, str(tmp_path / "s"), Caps(100, 1000, 1, 0))
+    frame = lambda n: spark.range(1).selectExpr("id as ord", "'S' as kind", "cast('k' as binary) as k", f"cast(repeat('x', {n}) as binary) as v", "cast(null as binary) as lo", "cast(null as binary) as hi")
+    with pytest.raises(StoreError) as e:
+        s.write_frame(frame(10_000))
+    assert e.value.status is Status.RECORD_TOO_LARGE and s.pending_bytes() == 0 and os.listdir(f"{s.path}/staged") == []
+    assert s.write_frame(frame(10)) == 2 and s.pending_bytes() == WriteBatch().set(b"k", b"x" * 10).record_bytes()
+    chance = spark.range(1).selectExpr("id as ord", "'S' as kind", "cast('r' as binary) as k", "cast(uuid() as binary) as v", "cast(null as binary) as lo", "cast(null as binary) as hi")
+    s.write_frame(chance)
+    seen = s.get(b"r")
+    assert s.get(b"r") == seen and s.sync() == 3 and s.get(b"r") == seen and s.pending_bytes() == 0
+
+
+def test_write_log(spark, tmp_path):
+    """Many batches in one frame, each with its own sequence."""
+    s = Store.open(spark, str(tmp_path / "s"))
+    s.put(b"a", b"0")
+    rows = [(1, 0, "S", b"a", b"1", None, None), (2, 0, "R", None, None, b"", None), (2, 1, "S", b"b", b"2", None, None), (3, 0, "D", b"b", None, None, None)]
+    ops = spark.createDataFrame(rows, "seq bigint, ord bigint, kind string, k binary, v binary, lo binary, hi binary")
+    assert s.write_log(ops) == 4 and state(s) == {}
+    assert s.sync() == 4 and s.view().versions().count() == 4
+
+
+# Flush, partial compaction and rolling
+
+
+def fill(s, lo, hi, tag=b"v"):
+    b = WriteBatch()
+    for i in range(lo, hi):
+        b.set(b"key%06d" % i, tag + b"%d:" % i + b"x" * 200)
+    s.write(b)
+    s.sync()
+
+
+def test_small_groups_wait(spark, tmp_path):
+    """Groups stay in the log's level until they hold flush_bytes; then they become one flushed segment."""
+    s = Store.open(spark, str(tmp_path / "s"), Caps(flush_bytes=6000))
+    levels = []
+    for i in range(12):
+        s.put(b"k%d" % (i % 5), b"%d" % i)
+        s.sync()
+        levels.append(sorted(x.level for x in s._manifest.segments))
+    assert levels[0] == [-1] and levels[1] == [-1, -1] and any(0 in x for x in levels) and all(x.count(0) < 4 for x in levels)
+    want = {b"k%d" % i: b"%d" % max(j for j in range(12) if j % 5 == i) for i in range(5)}
+    assert state(s) == want == read(spark, s.path)
+
+
+def test_partial_compaction_and_rolling(spark, tmp_path):
+    """Only what overlaps of the run is merged anew; its segments are many and do not overlap; keys stay whole."""
+    s = Store.open(spark, str(tmp_path / "s"), Caps(flush_bytes=1, segment_bytes=8_000))
+    fill(s, 0, 2000)
+    s.compact()
+    run = s._manifest.level(1, "versions")
+    assert len(run) >= 3 and sum(x.rows for x in run) == 2000
+    ordered = sorted(run, key=lambda x: x.min_key)
+    assert all(a.max_key < b.min_key for a, b in zip(ordered, ordered[1:], strict=False))
+    for i in range(4):
+        fill(s, 10 + 3 * i, 20 + 3 * i, b"w%d" % i)
+    after = s._manifest.level(1, "versions")
+    assert [x for x in s._manifest.segments if x.level != 1] == []
+    left = {x.name for x in run} & {x.name for x in after}
+    assert len(left) >= len(run) - 2 and s.last_compaction["consumed"] < 1500 and s.last_compaction["dropped"] > 0
+    # A range that reaches beyond the new keys takes in what it covers, and hides it for good.
+    fill(s, 0, 2)
+    s.delete_range(b"key000300", None)
+    s.sync()
+    for i in range(3):
+        fill(s, 2 + i, 3 + i)
+    assert s._manifest.level(0, "ranges") == [] == s._manifest.level(1, "ranges")
+    assert s.check() == {}
+    got = state(s)
+    assert sorted(got) == [b"key%06d" % i for i in range(300)] and got[b"key000013"].startswith(b"w1")
+    assert read(spark, s.path) == got
+
+
+def test_range_kept_for_a_snapshot(spark, tmp_path):
+    """A range that a reader is below stays in the run, hides what it hid, and goes with the reader."""
+    s = Store.open(spark, str(tmp_path / "s"), Caps(flush_bytes=1, segment_bytes=100_000))
+    fill(s, 0, 200)
+    s.compact()
+    snap = s.snapshot()
+    s.delete_range(b"key000010", b"key000190")
+    s.sync()
+    for i in range(4):
+        fill(s, 200 + 50 * i, 250 + 50 * i)
+    assert len(s._manifest.level(1, "ranges")) == 1
+    live = [b"key%06d" % i for i in [*range(10), *range(190, 400)]]
+    assert sorted(state(s)) == live and len(state(snap)) == 200
+    snap.close()
+    for i in range(4):
+        fill(s, 400 + 50 * i, 450 + 50 * i)
+    assert s._manifest.level(1, "ranges") == [] and s.view().versions().where("k >= 'key000010' and k < 'key000190'").count() == 0
+    assert sorted(state(s)) == live + [b"key%06d" % i for i in range(400, 600)]
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_random_workload_compacts(spark, tmp_path, seed):
+    """A random workload under small caps, with snapshots, against the fold."""
+    s, batches, held = Store.open(spark, str(tmp_path / "s"), Caps(flush_bytes=1500)), [], []
+    for kind, *rest in workload.batches_of(workload.random_ops(seed, 60)):
+        if kind == "write":
+            batches.append((s.write(workload.apply_ops(WriteBatch(), rest[0])), rest[0]))
+        elif kind == "sync":
+            s.sync()
+        elif kind == "take":
+            held.append(s.snapshot())
+        elif held and len(held) > 2:
+            held.pop(0).close()
+    s.sync()
+    s.compact()
+    assert state(s) == fold(batches) and all(state(h) == fold(batches, h.seq) for h in held)
+    assert read(spark, s.path) == fold(batches) and s.check() == {}
+
+
+def test_checkpoints(spark, tmp_path, monkeypatch):
+    """The log is cut at checkpoints; a torn one falls back to the one before; batch numbers are remembered."""
+    from chronolith.sources import log
+
+    monkeypatch.setattr(log, "CHECKPOINT_EVERY", 3)
+    monkeypatch.setattr(log, "BATCHES_KEPT", 4)
+    s = Store.open(spark, str(tmp_path / "s"))
+    for i in range(11):
+        s.put(b"k%d" % i, b"v")
+        s.sync(batch_id=i)
+    commits = [n for n in os.listdir(f"{s.path}/commits") if n.endswith(".json") and not n.startswith(".")]
+    points = sorted(n for n in os.listdir(f"{s.path}/checkpoints") if not n.startswith("."))
+    assert len(commits) <= 6 and points == ["000000000006.json", "000000000009.json"]
+    want = {b"k%d" % i: b"v" for i in range(11)}
+    m = s._manifest
+    assert read(spark, s.path) == want and all(m.has_batch(i) for i in range(11)) and not m.has_batch(11)
+    s.close()
+    for n in (points[-1], f".{points[-1]}.crc"):
+        if os.path.exists(f"{s.path}/checkpoints/{n}"):
+            os.remove(f"{s.path}/checkpoints/{n}")
+    open(f"{s.path}/checkpoints/{points[-1]}", "w").write('{"body"')
+    t = Store.open(spark, s.path)
+    assert state(t) == want and t._manifest.number == 11 and t._manifest.has_batch(0)
+
+
+def test_segment_check(spark, tmp_path):
+    """Faults of stored segments are told apart, and an opener refuses what its footers show."""
+    import glob
+
+    s = Store.open(spark, str(tmp_path / "s"), Caps(flush_bytes=1))
+    fill(s, 0, 50)
+    s.delete_range(b"a", b"b")
+    s.sync()
+    assert s.check() == {}
+    seg = next(x for x in s._manifest.segments if x.kind == "versions")
+    path = f"{s.path}/segments/{seg.name}"
+    faults = lambda rows, schema="k binary, seq bigint, vt tinyint, v binary": (
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path), checks.segment_faults(s.files, path, seg, "k binary, seq bigint, vt tinyint, v binary")
+    )[1]
+    assert {"rows", "size", "least key"} <= set(faults([(b"b", 1, 1, b"x")]))
+    assert {"keys not ascending", "value without bytes"} <= set(faults([(b"b", 1, 1, None), (b"a", 2, 1, b"x"), (b"a", 3, 0, None)]))
+    assert "empty" in faults([]) and "schema" in faults([(b"b", 1)], "k binary, seq bigint")
+    s.close()
+    with pytest.raises(StoreError) as e:
+        Store.open(spark, s.path)
+    assert e.value.status is Status.CORRUPTION
+    for f in glob.glob(f"{path}/*.parquet"):
+        open(f, "wb").write(b"not parquet")
+    assert any(x.startswith("unreadable") for x in checks.segment_faults(s.files, path, seg, "k binary")) and checks.segment_faults(s.files, path + "x", seg, "k binary") == ["missing"]
+
+
+def test_segments_that_meet():
+    from chronolith.sources.log import Segment
+
+    seg = lambda lo, hi, kind="versions", open_=False: Segment("n", kind, 0, 1, lo.hex(), hi.hex() if hi is not None else None, 1, 1, 0, open_)
+    a = seg(b"b", b"d")
+    assert a.overlaps(seg(b"d", b"f")) and not a.overlaps(seg(b"d\x00", b"f")) and a.overlaps(seg(b"a", b"b"))
+    assert not seg(b"a", b"b", "ranges").overlaps(a) and seg(b"a", b"b\x00", "ranges").overlaps(a) and a.overlaps(seg(b"d", b"e", "ranges"))
+    assert seg(b"c", None, "ranges", True).overlaps(seg(b"z", b"zz")) and not seg(b"zzz", None, "ranges", True).overlaps(seg(b"z", b"zz"))
+
+
+def test_caps_for_columns(spark):
+    """The rule for whole columns is that for one write."""
+    caps = Caps(100, 400, 1, 300)
+    rows = [(r, b, f) for r in (1, 100, 101) for b in (0, 199, 200, 299, 300, 301, 399) for f in (0, 50)]
+    df = spark.createDataFrame(rows, "r bigint, b bigint, f bigint")
+    got = df.select("r", "b", "f", caps.refusal(df["r"], df["b"], df["f"]).alias("s")).collect()
+    assert [x["s"] for x in got] == [int(caps.admit(r, b, f)) for r, b, f in rows]
+
+
+def test_content_hash(spark):
+    a = spark.createDataFrame([(b"a", b"1"), (b"b", b"2")], "k binary, v binary")
+    h = lambda df: tuple(metrics.content_hash(df).first())
+    assert h(a) == h(a.orderBy("v", ascending=False).repartition(3)) != h(a.limit(1)) and h(a.limit(0)) == (0, "0")
+    assert h(a) != h(spark.createDataFrame([(b"a", b"2"), (b"b", b"1")], "k binary, v binary"))
+
+
+def test_latest_values(spark, tmp_path):
+    """The newest value per key, over micro-batches that come out of order."""
+    for i, rows in enumerate([[("a", "1", 10), ("b", "2", 11)], [("a", "0", 5), ("b", "3", 12)]]):
+        spark.createDataFrame(rows, "key string, value string, t bigint").selectExpr("key", "value", "timestamp_seconds(t) as time").write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema("key string, value string, time timestamp").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = ingest.latest_values(stream, "key", "value", "time").writeStream.outputMode("complete").format("memory").queryName("latest").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r["key"]: r["value"] for r in spark.table("latest").collect()} == {"a": "1", "b": "3"}
