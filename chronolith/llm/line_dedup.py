@@ -5,9 +5,12 @@ of 8 characters (or the whole of a shorter line), are hashed once into 80 bins w
 signature; an empty bin copies a filled one in a fixed order. Sixteen bands of five minima make candidate
 groups: two lines of similarity 0.8 share a band with probability 0.998. Groups with the same members
 collapse to one, and within a group the exact Jaccard similarity of the shingle sets (as 64-bit hashes)
-decides, at 0.8 or more. A group sends on a spanning forest of its links, never its pairs; a large group is dealt out as pairs
-of blocks. Distributed union-find makes the components, and one line of each stays: the first by
-(document id, text hash, line number).
+decides, at 0.8 or more. A group sends on a spanning forest of its links, never its pairs. A large group is cut
+into blocks, each with the same few lines beside its own; what these link is one component, mostly, and only lines
+that are not in a group's largest one are then held against all its blocks: two lines of one component need no
+link of their own. A bucket of band keys that grows past its bound, for one key is very common, is dealt over
+several tasks, which first agree on the keys that several lines share. Distributed union-find makes the
+components, and one line of each stays: the first by (document id, text hash, line number).
 
 Defined cases: lines without a word (blank, or white space only) are never removed; a null text counts as
 empty and stays null; rows that repeat id and text are the same document and come out alike; a document
@@ -34,6 +37,9 @@ SHINGLE, BINS, BANDS, ROWS, SIMILARITY = 8, 80, 16, 5, 0.8
 CHAR_BASE, BAND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Characters hashed at once; signatures in a bucket of band keys; lines of a group compared at once.
 PIECE, BUCKET, BLOCK = 1 << 17, 3_000_000, 256
+#: Pairs in a bucket before it is dealt out, told from one document in SIZED (which plans the dealing, and no
+#: more); about how many lines all blocks of a group have in common; strays of a group compared at once.
+BUCKET_LIMIT, SIZED, HUBS, STRAYS = 9_000_000, 64, 16, 4096
 SEEN, GATHER = 100_000, 1_500_000
 NO_MIN = np.iinfo(np.uint32).max
 NO_DOC = np.iinfo(np.int64).max
@@ -181,9 +187,9 @@ def _band_rows(buckets: int):
             held.clear()
             b = ((pairs[:, 0] >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
             order = np.argsort(b, kind="stable")
-            kinds, first = np.unique(b[order], return_index=True)
+            kinds, first, n = np.unique(b[order], return_index=True, return_counts=True)
             blobs = [np.ascontiguousarray(p).tobytes() for p in np.split(pairs[order], first[1:])] if len(kinds) else []
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "n", "blob"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -232,6 +238,63 @@ def _candidate_groups(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.repeat(grp, size)[many].view(np.int64)), pa.array(ids[many].view(np.int64))], ["grp", "short"])
 
 
+GROUPS = "grp bigint, short bigint"
+
+
+def _key_ends(table: pa.Table) -> pa.Table:
+    """For each band key the least and the greatest line that has it, packed."""
+    pairs = np.frombuffer(b"".join(table.column("blob").to_pylist()), U).reshape(-1, 2)
+    return _merged_ends([(pairs[:, 0], pairs[:, 1], pairs[:, 1])], table)
+
+
+def _merged_ends(parts: list[tuple], table: pa.Table, shared: bool = False) -> pa.Table:
+    key, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, low, high = key[order], low[order], high[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    if len(first):
+        key, low, high = key[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+    if shared:
+        key, low, high = (x[low < high] for x in (key, low, high))
+    blob = np.stack([key, low, high], 1).tobytes()
+    return pa.table([table.column("bucket")[:1], table.column("parts")[:1], pa.array([blob], pa.binary())], ["bucket", "parts", "facts"])
+
+
+def _shared_keys(table: pa.Table) -> pa.Table:
+    """The keys of a bucket that more than one line has, from the ends that its parts found."""
+    parts = [np.frombuffer(b, U).reshape(-1, 3).T for b in table.column("facts").to_pylist()]
+    return _merged_ends([tuple(p) for p in parts], table, shared=True)
+
+
+def _of_shared_keys(_, bands: pa.Table, agreed: pa.Table) -> pa.Table:
+    """(grp, short): the lines of a bucket's part under its shared keys, which name the groups."""
+    pairs = np.frombuffer(b"".join(bands.column("blob").to_pylist()), U).reshape(-1, 2)
+    keys = np.frombuffer(b"".join(agreed.column("facts").to_pylist()), U).reshape(-1, 3)[:, 0]
+    pairs = pairs[np.isin(pairs[:, 0], keys)] if len(pairs) else pairs
+    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    return pa.table([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["grp", "short"])
+
+
+def _groups(ws: Workspace, keyed: DataFrame, buckets: int) -> DataFrame:
+    """(grp, short): the candidate groups of all buckets."""
+    schema = "bucket int, n bigint, blob binary"
+    bands = keyed.select("text").mapInArrow(_band_rows(buckets), schema)
+    looked_at = keyed.where(F.pmod(F.xxhash64(KEY, ID), F.lit(SIZED)) == 0).select("text").mapInArrow(_band_rows(buckets), schema)
+    parts = F.ceil(F.sum("n") * SIZED / BUCKET_LIMIT).cast("int").alias("parts")
+    large = ws.save(looked_at.groupBy("bucket").agg(parts).where("parts > 1").withColumnRenamed("bucket", "b_"))
+    if large.isEmpty():
+        return bands.select("bucket", "blob").groupBy("bucket").applyInArrow(_candidate_groups, GROUPS)
+    joined = bands.join(F.broadcast(large), F.col("bucket") == F.col("b_"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    joined = ws.save(joined.withColumn("salt", F.pmod(F.xxhash64("blob"), F.col("parts")).cast("int")).select("bucket", "salt", "parts", "blob"))
+    ends = joined.where("parts > 1").groupBy("bucket", "salt").applyInArrow(_key_ends, "bucket int, parts int, facts binary")
+    agreed = ws.save(ends.groupBy("bucket").applyInArrow(_shared_keys, "bucket int, parts int, facts binary"))
+    agreed = agreed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = joined.where("parts > 1").groupBy("bucket", "salt").cogroup(agreed.groupBy("bucket", "salt")).applyInArrow(_of_shared_keys, GROUPS)
+    return joined.where("parts = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(_candidate_groups, GROUPS).unionByName(dealt)
+
+
 def _short(lid: bytes) -> int:
     return int(np.frombuffer(lid[:8], np.int64)[0])
 
@@ -259,35 +322,87 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _verified(least: float):
-    """Rows (grp, p, q, blk, lid, line), sorted by the first three: links of each group's lines."""
+    """Rows (grp, p, q, blk, lid, line), sorted by the first three: links among the lines of block p, or (q given)
+    between those and the ones of block q. Lines of many groups are hashed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[bytes] = []
         b: list[bytes] = []
+        held: list[tuple] = []
+        size = 0
 
         def table() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
+        def compare() -> None:
+            every = shingle_sets([x for _, _, _, _, line in held for x in line.tolist()])
+            at = 0
+            for p, q, blk, lid, line in held:
+                sets = every[at : at + len(line)]
+                at += len(line)
+                forest = Forest(len(lid))
+                left = [i for i in range(len(lid)) if blk[i] == p]
+                right = left if p == q else [i for i in range(len(lid)) if blk[i] == q]
+                for i in left:
+                    for j in right:
+                        if (p != q or j > i) and lid[i] != lid[j] and forest.root(i) != forest.root(j) and similar(sets[i], sets[j], least):
+                            forest.join(i, j)
+                            a.append(lid[i])
+                            b.append(lid[j])
+            held.clear()
+
         for (_, p, q), (blk, lid, line) in runs(batches, 3):
-            sets = shingle_sets(line.tolist())
-            forest = Forest(len(lid))
-            left = [i for i in range(len(lid)) if blk[i] == p]
-            right = left if p == q else [i for i in range(len(lid)) if blk[i] == q]
-            for i in left:
-                for j in right:
-                    if (p != q or j > i) and forest.root(i) != forest.root(j) and similar(sets[i], sets[j], least):
-                        forest.join(i, j)
-                        a.append(lid[i])
-                        b.append(lid[j])
+            held.append((p, q, blk, lid, line))
+            size += sum(map(len, line))
+            if size >= PIECE:
+                compare()
+                size = 0
             if len(a) >= 50_000:
                 yield table()
                 a.clear()
                 b.clear()
+        if held:
+            compare()
         yield table()
 
     return run
 
 
+def _links(ws: Workspace, rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between lines (grp, lid, line) of a group that make the same components as all of them."""
+    zero, parts = F.lit(0), shuffle_partitions(ws.spark)
+
+    def verified(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("grp", "p", "q", "blk", "lid", "line").repartition(parts, "grp", "p", "q").sortWithinPartitions("grp", "p", "q")
+        return ws.save(dealt.mapInArrow(_verified(least), "a binary, b binary"))
+
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = ws.save(sizes.select(F.col("grp").alias("g_"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    if large.isEmpty():
+        return verified(rows.select("*", zero.alias("p"), zero.alias("q"), zero.alias("blk")))
+    r = rows.join(large, F.col("grp") == F.col("g_"), "left").drop("g_").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    r = r.withColumn("blk", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int"))
+    # Every block has a few lines, the same for all blocks of a group, beside its own.
+    hub = (F.col("parts") > 1) & (F.pmod(F.xxhash64("lid", F.lit(1)), F.col("parts") * BLOCK) < HUBS)
+    own_block = F.array("blk")
+    r = r.withColumn("p", F.explode(F.when(hub, F.sequence(zero, F.col("parts") - 1)).otherwise(own_block)))
+    first = verified(r.select("grp", "p", F.col("p").alias("q"), F.col("p").alias("blk"), "lid", "line"))
+    roots = components(ws, first)
+    # Lines outside their group's largest component so far are held against all its blocks.
+    member = r.where("parts > 1 and p = blk").drop("p").join(roots, F.col("lid") == F.col("x"), "left")
+    member = ws.save(member.select("grp", "parts", "blk", "lid", "line", F.coalesce("root", "lid").alias("root")))
+    main = member.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy(F.col("grp").alias("g_")).agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    stray = ws.save(member.join(main, F.col("grp") == F.col("g_")).where("root <> main").drop("g_", "main", "root"))
+    some = ws.save(stray.groupBy(F.col("grp").alias("g_")).agg(F.ceil(F.count("*") / STRAYS).cast("int").alias("rounds")))
+    if some.isEmpty():
+        return first
+    stray = stray.join(some, F.col("grp") == F.col("g_")).withColumn("q", -1 - F.pmod(F.xxhash64("lid"), F.col("rounds")).cast("int"))
+    stray = stray.select("grp", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"), "q", F.col("q").alias("blk"), "lid", "line")
+    block = member.join(some, F.col("grp") == F.col("g_"))
+    block = block.select("grp", F.col("blk").alias("p"), F.explode(F.sequence(-F.col("rounds"), F.lit(-1))).alias("q"), "blk", "lid", "line")
+    return first.unionByName(verified(stray.unionByName(block)))
+
+
 N_LINES, N_REMOVED = own("n_lines"), own("n_removed")
 ID, KEY, GONE, IN_ID, IN_KEY = (own(n) for n in ("id", "key", "gone", "in_id", "in_key"))
 
@@ -304,8 +419,7 @@ def removed_lines(ws: Workspace, docs: DataFrame, least: float = SIMILARITY) ->
     first = F.min(F.struct("doc_id", "row_key", "line_no")).alias("first")
     distinct = ws.save(lines.groupBy("lid", "short").agg(first, F.count("*").alias("times")))
     buckets = max(shuffle_partitions(ws.spark), -(-lines.count() * BANDS // BUCKET))
-    bands = keyed.select("text").mapInArrow(_band_rows(buckets), "bucket int, blob binary")
-    groups = bands.groupBy("bucket").applyInArrow(_candidate_groups, "grp bigint, short bigint")
+    groups = _groups(ws, keyed, buckets)
     groups = ws.save(groups.select("grp", "short").distinct())
     ws.free()
     # The texts of the candidates, from the first document that has each.
@@ -319,18 +433,7 @@ def removed_lines(ws: Workspace, docs: DataFrame, least: float = SIMILARITY) ->
     picked = ws.save(picked.mapInArrow(_texts, "lid binary, short bigint, line string").dropDuplicates(["lid"]))
     ws.drop(by_doc)
     ws.free()
-    large = ws.save(groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("grp").alias("g_"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
-    rows = groups.join(picked, "short").select("grp", "lid", "line")
-    zero = F.lit(0)
-    if large.isEmpty():
-        dealt = rows.select("grp", zero.alias("p"), zero.alias("q"), zero.alias("blk"), "lid", "line")
-    else:
-        r = rows.join(large, F.col("grp") == F.col("g_"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        r = r.withColumn("blk", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int"))
-        r = r.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
-        dealt = r.select("grp", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "lid", "line")
-    dealt = dealt.repartition(shuffle_partitions(ws.spark), "grp", "p", "q").sortWithinPartitions("grp", "p", "q")
-    roots = components(ws, dealt.mapInArrow(_verified(least), "a binary, b binary"))
+    roots = components(ws, _links(ws, groups.join(picked, "short").select("grp", "lid", "line"), least))
     # The line that stays for each component; lines that stand alone and occur once need none.
     mate = roots.unionByName(roots.select(F.col("root").alias("x"), "root")).groupBy("x").agg(F.min("root").alias("root"))
     member = distinct.select("lid", "first", "times").join(mate, F.col("lid") == F.col("x"), "left").where("root is not null or times > 1")

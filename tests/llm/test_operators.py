@@ -310,14 +310,73 @@ def test_line_dedup(spark, docs):
 
 
 def test_line_blocks(spark, monkeypatch):
-    """Groups dealt out as pairs of blocks lose no link."""
+    """Large groups, cut into blocks, lose no link: neither where all is one component nor where many are strays."""
     base = " ".join(f"word{i}" for i in range(60))
     made = [base.replace(f"word{i} ", f"other{i} ") for i in range(40)]
     want = {r["doc_id"]: r["text"] for r in line_dedup.query(docs_of(spark, made)).collect()}
     monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    monkeypatch.setattr(line_dedup, "HUBS", 1)
+    monkeypatch.setattr(line_dedup, "STRAYS", 5)
     assert {r["doc_id"]: r["text"] for r in line_dedup.query(docs_of(spark, made)).collect()} == want == brute_lines(list(enumerate(made)))
 
 
+def test_line_links(spark, monkeypatch):
+    """Within one group of several clusters, some tied by a chain, links make the components that all pairs make."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+    monkeypatch.setattr(line_dedup, "HUBS", 1)
+    monkeypatch.setattr(line_dedup, "STRAYS", 4)
+    r = np.random.default_rng(6)
+    made = []
+    for c in range(9):
+        w = [f"c{c}w{x}" for x in r.integers(0, 10**6, 40)]
+        for _ in range(8):
+            made.append(" ".join(w))
+            w = list(w)
+            w[int(r.integers(0, 40))] = f"n{r.integers(0, 10**6)}"
+    ws = Workspace(spark)
+    rows = ws.save(spark.createDataFrame([(1, x) for x in made], "grp bigint, line string").select("grp", F.unhex(F.md5("line")).alias("lid"), "line"))
+    name = {bytes(x["lid"]): x["line"] for x in rows.collect()}
+    got = {name[bytes(x["x"])]: name[bytes(x["root"])] for x in components(ws, line_dedup._links(ws, rows, 0.8)).collect()}
+    kept = brute_lines([(0, "\n".join(made))])[0].split("\n")
+    assert len({got.get(x, x) for x in made}) == len(kept) >= 9
+
+
+def test_line_buckets(spark, docs, monkeypatch):
+    """Buckets that are dealt out find the same lines."""
+    some = docs.where("length(text) < 3000").limit(60)
+    want = {r["doc_id"]: r["text"] for r in line_dedup.query(some).collect()}
+    monkeypatch.setattr(line_dedup, "BUCKET_LIMIT", 40)
+    monkeypatch.setattr(line_dedup, "SIZED", 1)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.query(some).collect()} == want
+
+
+def test_line_recall():
+    """Lines of similarity 0.8 or a little more share a band almost always."""
+    import random
+
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    pairs, size = [], []
+    while len(pairs) < 1500:
+        n = r.randint(40, 300)
+        a = "".join(r.choice(letters) for _ in range(n))
+        b = list(a)
+        for _ in range(r.randint(1, 3)):
+            b[r.randrange(n)] = "Z"
+        b = "".join(b)
+        x, y = line_dedup.shingle_sets([a, b])
+        both = len(np.intersect1d(x, y))
+        near = both / (len(x) + len(y) - both)
+        if 0.8 <= near < 0.87:
+            pairs.append((a, b))
+            size.append(near)
+    keys = line_dedup.signatures([x for p in pairs for x in p]).reshape(len(pairs), 2, -1)
+    found = (keys[:, 0, :] == keys[:, 1, :]).any(1)
+    assert min(size) < 0.81 and found.mean() >= 0.995
+
+
 # 5. Exact top-k
 
 
