@@ -71,7 +71,23 @@ def test_odd_rows(spark, i):
     got = out.collect()
     if i < 4:
         assert out.columns == docs.columns
+        # Which rows stay, by their place in `rows`, with what text; the other columns come through unchanged.
+        want = {
+            0: [(0, good), (1, good), (2, good + " again")],
+            1: [(0, good), (1, good), (2, ""), (3, None), (4, ""), (5, None)],
+            2: [(0, good), (3, None)],
+            3: [],
+        }[i]
+        if i < 3:
+            made = [(rows[k][0], t, *rows[k][2:4], len(t) if i == 1 and t is not None else rows[k][4], *rows[k][5:]) for k, t in want]
+            assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, made))
+        else:
+            # Of 109.5 words 'b' has none to give; 'a' gives 91 of its 48, the null source 18 of its 25.
+            n = collections.Counter((r["doc_id"], r["text"]) for r in got)
+            assert n == {(1, good): 4, (None, good + " again"): 1}
     else:
+        assert sum(r["length"] for r in got if r["doc_id"] == 3) == 1 == sum(r["length"] for r in got if r["doc_id"] == 4)
+        assert sum(r["length"] for r in got if r["doc_id"] == 1) == 2 * max(r["doc_tokens"] for r in got if r["doc_id"] == 1)
         assert len(got) >= len(rows)
     none = corpus_pipeline.STAGES[i][1](spark, docs.where("false"), SF)
     assert none.count() == 0
