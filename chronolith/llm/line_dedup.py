@@ -5,10 +5,8 @@ of 8 characters (or the whole of a shorter line), are hashed once into 80 bins w
 signature; an empty bin copies a filled one in a fixed order. Sixteen bands of five minima make candidate
 groups: two lines of similarity 0.8 share a band with probability 0.998. Groups with the same members
 collapse to one, and within a group the exact Jaccard similarity of the shingle sets (as 64-bit hashes)
-decides, at 0.8 or more. A group sends on a spanning forest of its links, never its pairs. A large group is cut
-into blocks, each with the same few lines beside its own; what these link is one component, mostly, and only lines
-that are not in a group's largest one are then held against all its blocks: two lines of one component need no
-link of their own. A bucket of band keys that grows past its bound, for one key is very common, is dealt over
+decides, at 0.8 or more. A group sends on a spanning forest of its links, never its pairs; a large group is dealt
+out as pairs of blocks. A bucket of band keys that grows past its bound, for one key is very common, is dealt over
 several tasks, which first agree on the keys that several lines share. Distributed union-find makes the
 components, and one line of each stays: the first by (document id, text hash, line number).
 
@@ -21,6 +19,7 @@ result; other columns are carried unchanged.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +37,11 @@ CHAR_BASE, BAND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Characters hashed at once; signatures in a bucket of band keys; lines of a group compared at once.
 PIECE, BUCKET, BLOCK = 1 << 17, 3_000_000, 256
 #: Pairs in a bucket before it is dealt out, told from one document in SIZED (which plans the dealing, and no
-#: more); about how many lines all blocks of a group have in common; strays of a group compared at once.
-BUCKET_LIMIT, SIZED, HUBS, STRAYS = 9_000_000, 64, 16, 4096
+#: more).
+BUCKET_LIMIT, SIZED = 9_000_000, 64
 SEEN, GATHER = 100_000, 1_500_000
+#: Shingles of two lines from which their lowest ones are looked at first.
+LONG_SETS = 1000
 NO_MIN = np.iinfo(np.uint32).max
 NO_DOC = np.iinfo(np.int64).max
 _FILL: list[np.ndarray] = []
@@ -315,6 +316,13 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether the Jaccard similarity of two non-empty sets is at least `least`, sizes first."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
+    if len(a) + len(b) > LONG_SETS:
+        # So similar sets have at least `need` in common, hence one among the lowest of either that remain.
+        need = math.ceil(least / (1 + least) * (len(a) + len(b)) - 1e-9)
+        low = np.concatenate((a[: len(a) - need + 1], b[: len(b) - need + 1]))
+        low.sort()
+        if not (low[1:] == low[:-1]).any():
+            return False
     every = np.concatenate((a, b))
     every.sort()
     both = int(np.count_nonzero(every[1:] == every[:-1]))
@@ -335,7 +343,16 @@ def _verified(least: float):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         def compare() -> None:
-            every = shingle_sets([x for _, _, _, _, line in held for x in line.tolist()])
+            every: list[np.ndarray] = []
+            some: list[str] = []
+            chars = 0
+            for x in (x for _, _, _, _, line in held for x in line.tolist()):
+                some.append(x)
+                chars += len(x)
+                if chars >= PIECE:
+                    every += shingle_sets(some)
+                    some, chars = [], 0
+            every += shingle_sets(some) if some else []
             at = 0
             for p, q, blk, lid, line in held:
                 sets = every[at : at + len(line)]
@@ -369,38 +386,22 @@ def _verified(least: float):
 
 
 def _links(ws: Workspace, rows: DataFrame, least: float) -> DataFrame:
-    """(a, b): links between lines (grp, lid, line) of a group that make the same components as all of them."""
-    zero, parts = F.lit(0), shuffle_partitions(ws.spark)
-
-    def verified(dealt: DataFrame) -> DataFrame:
-        dealt = dealt.select("grp", "p", "q", "blk", "lid", "line").repartition(parts, "grp", "p", "q").sortWithinPartitions("grp", "p", "q")
-        return ws.save(dealt.mapInArrow(_verified(least), "a binary, b binary"))
+    """(a, b): links between lines (grp, lid, line) of a group that make the same components as all of them.
 
+    A group larger than a block is dealt out as pairs of blocks.
+    """
+    zero, parts = F.lit(0), shuffle_partitions(ws.spark)
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     large = ws.save(sizes.select(F.col("grp").alias("g_"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     if large.isEmpty():
-        return verified(rows.select("*", zero.alias("p"), zero.alias("q"), zero.alias("blk")))
-    r = rows.join(large, F.col("grp") == F.col("g_"), "left").drop("g_").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    r = r.withColumn("blk", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int"))
-    # Every block has a few lines, the same for all blocks of a group, beside its own.
-    hub = (F.col("parts") > 1) & (F.pmod(F.xxhash64("lid", F.lit(1)), F.col("parts") * BLOCK) < HUBS)
-    own_block = F.array("blk")
-    r = r.withColumn("p", F.explode(F.when(hub, F.sequence(zero, F.col("parts") - 1)).otherwise(own_block)))
-    first = verified(r.select("grp", "p", F.col("p").alias("q"), F.col("p").alias("blk"), "lid", "line"))
-    roots = components(ws, first)
-    # Lines outside their group's largest component so far are held against all its blocks.
-    member = r.where("parts > 1 and p = blk").drop("p").join(roots, F.col("lid") == F.col("x"), "left")
-    member = ws.save(member.select("grp", "parts", "blk", "lid", "line", F.coalesce("root", "lid").alias("root")))
-    main = member.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy(F.col("grp").alias("g_")).agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    stray = ws.save(member.join(main, F.col("grp") == F.col("g_")).where("root <> main").drop("g_", "main", "root"))
-    some = ws.save(stray.groupBy(F.col("grp").alias("g_")).agg(F.ceil(F.count("*") / STRAYS).cast("int").alias("rounds")))
-    if some.isEmpty():
-        return first
-    stray = stray.join(some, F.col("grp") == F.col("g_")).withColumn("q", -1 - F.pmod(F.xxhash64("lid"), F.col("rounds")).cast("int"))
-    stray = stray.select("grp", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"), "q", F.col("q").alias("blk"), "lid", "line")
-    block = member.join(some, F.col("grp") == F.col("g_"))
-    block = block.select("grp", F.col("blk").alias("p"), F.explode(F.sequence(-F.col("rounds"), F.lit(-1))).alias("q"), "blk", "lid", "line")
-    return first.unionByName(verified(stray.unionByName(block)))
+        dealt = rows.select("grp", zero.alias("p"), zero.alias("q"), zero.alias("blk"), "lid", "line")
+    else:
+        r = rows.join(large, F.col("grp") == F.col("g_"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        r = r.withColumn("blk", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int"))
+        r = r.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
+        dealt = r.select("grp", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "lid", "line")
+    dealt = dealt.repartition(parts, "grp", "p", "q").sortWithinPartitions("grp", "p", "q")
+    return dealt.mapInArrow(_verified(least), "a binary, b binary")
 
 
 N_LINES, N_REMOVED = own("n_lines"), own("n_removed")

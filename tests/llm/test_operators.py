@@ -310,13 +310,11 @@ def test_line_dedup(spark, docs):
 
 
 def test_line_blocks(spark, monkeypatch):
-    """Large groups, cut into blocks, lose no link: neither where all is one component nor where many are strays."""
+    """Groups dealt out as pairs of blocks lose no link."""
     base = " ".join(f"word{i}" for i in range(60))
     made = [base.replace(f"word{i} ", f"other{i} ") for i in range(40)]
     want = {r["doc_id"]: r["text"] for r in line_dedup.query(docs_of(spark, made)).collect()}
     monkeypatch.setattr(line_dedup, "BLOCK", 7)
-    monkeypatch.setattr(line_dedup, "HUBS", 1)
-    monkeypatch.setattr(line_dedup, "STRAYS", 5)
     assert {r["doc_id"]: r["text"] for r in line_dedup.query(docs_of(spark, made)).collect()} == want == brute_lines(list(enumerate(made)))
 
 
@@ -325,8 +323,7 @@ def test_line_links(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(line_dedup, "BLOCK", 5)
-    monkeypatch.setattr(line_dedup, "HUBS", 1)
-    monkeypatch.setattr(line_dedup, "STRAYS", 4)
+    monkeypatch.setattr(line_dedup, "LONG_SETS", 10)
     r = np.random.default_rng(6)
     made = []
     for c in range(9):
